@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, lines, split
+from quillstone.llm import bpe, lines, near_duplicates, split
 from quillstone.runtime import table
 
 
@@ -27,11 +27,27 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(spark, table(spark, d, "documents"))
 
 
+def _near(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
+    return near_duplicates.near_duplicates(spark, table(spark, d, "documents"), words=3, similarity=0.5)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).pairs()
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).classes()
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).groups()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(spark, table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p6_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p5_found, p5_classes, p5_groups, p6_ids)}
 
 #: p1: RE2 classes, as the operator's Python has them; lines are numbered from 0.
 _P1_LINES = r"""
@@ -42,6 +58,14 @@ named as (select * from keyed where regexp_matches(key, '\p{L}')),
 found as (select source, key from (select source, key, count(distinct doc_id) as n from named group by all) join (select source, count(*) as d from docs group by all) using (source) where n >= 5 and n * 100 >= 15 * d)
 """
 
+#: p5: an inverted index of word triples; RE2 classes as above.
+_P5_LINKS = r"""
+with words as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents where text is not null),
+sets as (select doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from words where len(w) >= 20),
+flat as (select doc_id, len(s) as n, unnest(s) as g from sets)
+"""
+
 ORACLES: dict[str, str] = {
+    "p5_found": _P5_LINKS + "select a.doc_id as doc_id_a, b.doc_id as doc_id_b from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id having count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*))",
     "p1_found": _P1_LINES + "select doc_id, cast(line_no as integer) as line_no from named join found using (source, key)",
 }
