@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, lines, near_duplicates, split
+from quillstone.llm import bpe, lines, mixing, near_duplicates, quality, split
 from quillstone.runtime import table
 
 
@@ -47,7 +47,23 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(spark, table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p5_found, p5_classes, p5_groups, p6_ids)}
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(spark, table(spark, d, "documents")).where("text_type = 'other'").select("doc_id")
+
+
+def p8_types(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(spark, table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p5_found, p5_classes, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_types)}
 
 #: p1: RE2 classes, as the operator's Python has them; lines are numbered from 0.
 _P1_LINES = r"""
