@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, lines, mixing, near_duplicates, quality, split
+from quillstone.llm import bpe, lines, mixing, near_duplicates, neighbours, quality, split
 from quillstone.runtime import table
 
 
@@ -27,6 +27,15 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(spark, table(spark, d, "documents"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(spark, table(spark, d, "chunk_embeddings"))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunk_embeddings")
+    return neighbours.most_similar(spark, chunks, queries=chunks["id"] % 50 == 0, probes=96)
+
+
 def _near(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
     return near_duplicates.near_duplicates(spark, table(spark, d, "documents"), words=3, similarity=0.5)
 
@@ -63,7 +72,7 @@ def p8_types(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(spark, table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p5_found, p5_classes, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_types)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_neighbours, p5_found, p5_classes, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_types)}
 
 #: p1: RE2 classes, as the operator's Python has them; lines are numbered from 0.
 _P1_LINES = r"""
@@ -81,7 +90,17 @@ sets as (select doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambd
 flat as (select doc_id, len(s) as n, unnest(s) as g from sets)
 """
 
+#: p3: every pair compared. Ranks below the least cosine don't matter, as all better neighbours are above it.
+_P3_FOUND = """
+with v as (select id, cast(vector as double[]) as v from chunk_embeddings where vector is not null and len(vector) = 64
+  and not list_bool_or(list_transform(vector, lambda x: isnan(x))) and list_max(list_transform(vector, lambda x: abs(x))) > 0),
+near as (select a.id as a, b.id as b, list_cosine_similarity(a.v, b.v) as c from v a join v b on a.id <> b.id where list_cosine_similarity(a.v, b.v) >= 0.9),
+ranked as (select a, b, row_number() over (partition by a order by c desc, b) as r from near)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from ranked where r <= 10
+"""
+
 ORACLES: dict[str, str] = {
+    "p3_found": _P3_FOUND,
     "p5_found": _P5_LINKS + "select a.doc_id as doc_id_a, b.doc_id as doc_id_b from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id having count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*))",
     "p1_found": _P1_LINES + "select doc_id, cast(line_no as integer) as line_no from named join found using (source, key)",
 }
