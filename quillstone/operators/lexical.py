@@ -23,10 +23,15 @@ def query_words(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
 
+def occurrences(words_column: str, forms: Sequence[str]) -> Column:
+    """How many words of an array are one of the forms."""
+    return F.size(F.filter(words_column, lambda w: w.isin(*forms)))
+
+
 def term_counts(docs: DataFrame, fields: Sequence[str], words: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """The kept columns and, for each field, its words (len_f) and how often each query word occurs (tf_f): narrow."""
     out = docs.select(*keep, *[X.words(F.coalesce(F.col(f), F.lit(""))).alias(f"_{f}") for f in fields])
-    counts = [c for f in fields for c in (F.size(f"_{f}").alias(f"len_{f}"), F.array(*[F.size(F.filter(f"_{f}", lambda w, q=q: w == q)) for q in words]).alias(f"tf_{f}"))]
+    counts = [c for f in fields for c in (F.size(f"_{f}").alias(f"len_{f}"), F.array(*[occurrences(f"_{f}", [q]) for q in words]).alias(f"tf_{f}"))]
     return out.select(*keep, *counts)
 
 
@@ -90,7 +95,7 @@ def full_text(spark: SparkSession, docs: DataFrame, text: str, query: str, keep:
     if not forms:
         return docs.select(*keep, F.lit(0.0).alias("rank")).limit(0)
     own = X.words(F.coalesce(F.col(text), F.lit("")))
-    counts = [F.size(F.filter("_w", lambda w, fs=fs: w.isin(fs))) for fs in forms]
+    counts = [occurrences("_w", fs) for fs in forms]
     return docs.select(*keep, own.alias("_w")).select(*keep, F.array(*counts).alias("_n")).where(F.forall("_n", lambda n: n > 0)).select(*keep, F.aggregate("_n", F.lit(0.0), lambda s, n: s + F.log1p(n.cast("double"))).alias("rank"))
 
 

@@ -131,7 +131,7 @@ def q_vector_filtered(spark, d):
 
 def q_metadata_filter(spark, d):
     chunks, _ = _both(spark, d)
-    f = P.Filters(type="legislation", year=1996, title_approx="levy act")
+    f = P.Filters(type="legislation", subjurisdiction="qld", title_approx="levy act")
     return P.where(chunks, f).orderBy("id").limit(100).select("id", "doc_id", "chunk_index", "md_title")
 
 
@@ -142,7 +142,7 @@ def q_citation_member(spark, d):
 
 def q_ann_filters_postfilter(spark, d):
     chunks, documents = _both(spark, d)
-    return ann_filters_postfilter(chunks, documents, QUERY, 200, P.Filters(types=["case", "journal"], date_from="1990-01-01"), title="re", source=None)
+    return ann_filters_postfilter(chunks, documents, QUERY, 200, P.Filters(types=["case", "journal"], date_from="1990-01-01"), title="re wharf pty ltd", source=None)
 
 
 def q_two_phase_refine(spark, d):
@@ -182,7 +182,7 @@ _TITLES = "string_agg(distinct md_title, '; ' order by md_title)"
 ORACLES: dict[str, str] = {
     "vector_topk": f"with {S.EMB}, {S.VEC}, top as (select id, doc_id, chunk_index, distance from vec order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id limit 25) select id, doc_id, chunk_index, distance, source, substr(text, 1, 80) as text, format from top join documents using (doc_id)",
     "vector_filtered": f"with {S.EMB}, {S.VEC} select id, doc_id, chunk_index, distance from vec where md_type = 'case' and md_jurisdiction = 'au' and md_date between date '1985-01-01' and date '2015-12-31' and doc_id in (select doc_id from documents where {S.similarity('lower(source)', 'harbour rulings')} >= 0.3) order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id limit 20",
-    "metadata_filter": f"with {S.EMB} select id, doc_id, chunk_index, md_title from emb where md_type = 'legislation' and md_year = 1996 and {S.similarity('md_title_lc', 'levy act')} >= 0.3 order by id limit 100",
+    "metadata_filter": f"with {S.EMB} select id, doc_id, chunk_index, md_title from emb where md_type = 'legislation' and md_subjurisdiction = 'qld' and {S.similarity('md_title_lc', 'levy act')} >= 0.3 order by id limit 100",
     "citation_member": f"with {S.EMB} select id, doc_id, md_type from emb where list_contains(list_transform(md_citations, lambda c: lower(c)), '[2018] hbrt 402')",
     "cases_by_citation": f"""with {S.EMB}, matched as (select distinct doc_id from emb where md_type = 'case' and len(list_intersect(list_transform(md_citations, lambda c: lower(c)), {_CITED})) > 0),
 per as (select doc_id, max(md_jurisdiction) as jurisdiction, max(md_date) as case_date, max(md_database) as court, min(list_min(md_citations)) as citation, coalesce({_TITLES}, '') as case_name from emb where doc_id in (from matched) group by doc_id)
@@ -196,7 +196,7 @@ select doc_id, url, jurisdiction, case_date, court, case_name, cast(distance as
     "types_title_trgm": _title_sql(ACT, "md_type in ('legislation', 'treaty', 'journal')", None, 20, True),
     "title_search_doc_group": _title_sql("harbour", "true", 500, 20, True, 0.2),
     "source_approx": f"select doc_id, url, source, round({S.similarity('lower(source)', 'harbour ruling')}, 6) as score from documents where {S.similarity('lower(source)', 'harbour ruling')} >= 0.3 order by score desc, doc_id limit 100",
-    "ann_filters_postfilter": f"with {S.EMB}, {S.VEC}, top as (select * from vec where md_type in ('case', 'journal') and md_date >= date '1990-01-01' order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id limit 200) select id, doc_id, chunk_index, distance, url, md_type, md_database as court, md_jurisdiction, md_date, md_year, md_title as title from top join documents using (doc_id) where {S.similarity('md_title_lc', 're')} >= 0.3",
+    "ann_filters_postfilter": f"with {S.EMB}, {S.VEC}, top as (select * from vec where md_type in ('case', 'journal') and md_date >= date '1990-01-01' order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id limit 200) select id, doc_id, chunk_index, distance, url, md_type, md_database as court, md_jurisdiction, md_date, md_year, md_title as title from top join documents using (doc_id) where {S.similarity('md_title_lc', 're wharf pty ltd')} >= 0.3",
     "two_phase_refine": f"with {S.EMB}, {S.VEC}, rough as (select * from vec order by 1 - list_cosine_similarity(cast(vector[1:16] as double[]), ({S.QUERY_SQL})[1:16]) nulls last, id limit 200) select id, doc_id, chunk_index, distance from rough order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id limit 20",
     "knn_score": f"with {S.EMB} select id, round((1 + list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL})) / 2, 6) as score, round(-list_dot_product(cast(vector as double[]), {S.QUERY_SQL}), 4) as neg_dot from emb where md_type = 'treaty' and {S.USABLE}",
     "latest_chunk_per_document": "select id, doc_id, chunk_index from (select *, row_number() over (partition by doc_id, chunk_index order by created_at desc nulls last, id desc) as r from chunk_embeddings where doc_id is not null) where r = 1",
