@@ -34,44 +34,49 @@ LONG_TOKEN = 25
 STATISTICS = ("chars", "words", "mean_word_length", "symbol_ratio", "digit_ratio", "letter_ratio", "punctuated_lines", "common_words", "distinct_words", "damaged_tokens", "long_tokens", "prose_chars")
 
 
-def line_is_prose(words: list[str], common: int, line: str, near_words: int, near_common: int) -> bool:
+def damaged_tokens(line: str) -> int:
+    """Tokens with a sign between their letters that words don't hold. Most tokens are letters but for their ends."""
+    odd = [t for t in line.split() if not t.isalpha() and not t[:-1].isalpha()]
+    return len(DAMAGED.findall(" ".join(odd))) if odd else 0
+
+
+def line_is_prose(words: list[str], letters: int, solid: int, common: int, line: str, damaged: int, near_words: int, near_common: int) -> bool:
     """Whether a line reads as part of sentences, given the words of itself and of its two neighbours together."""
-    if not words:
-        return False
-    letters = sum(map(len, words))
-    solid = len(line) - line.count(" ") - line.count("\t")
-    if letters < 0.6 * solid:
+    if not words or letters < 0.6 * solid:
         return False
     if common >= 0.15 * len(words) or (near_words >= 6 and near_common >= 0.2 * near_words and (common or len(words) < 5)):
-        return len(DAMAGED.findall(line)) <= 0.1 * len(words) + 1
+        return damaged <= 0.1 * len(words) + 1
     foreign = sum(len(w) for w in words if w[0] > LATIN_END)
     if 2 * foreign > letters:
         return True
     # no known language: sentences by their shape
-    return len(words) >= 8 and letters >= 0.85 * solid and bool(SENTENCE.search(line)) and len(set(words)) >= 0.6 * len(words) and 2.5 <= letters / len(words) <= 9 and not DAMAGED.search(line)
+    return len(words) >= 8 and letters >= 0.85 * solid and bool(SENTENCE.search(line)) and len(set(words)) >= 0.6 * len(words) and 2.5 <= letters / len(words) <= 9 and not damaged
 
 
 def statistics(text: str) -> tuple[float, ...]:
     """STATISTICS of a text (see README); ratios are of its characters that aren't white space."""
     lines = [x for x in text.splitlines() if x and not x.isspace()]
-    words = [WORD.findall(x.lower()) for x in lines]
+    words = list(map(WORD.findall, map(str.lower, lines)))
     common = [sum(map(COMMON.__contains__, w)) for w in words]
     size = [0, *map(len, words), 0]
     many = [0, *common, 0]
+    broken = list(map(damaged_tokens, lines))
+    in_line = [sum(map(len, w)) for w in words]
+    tokens = text.split()
+    solid = [len(x) - x.count(" ") - x.count("\t") - x.count("\xa0") for x in lines]
     prose = 0
-    solid = [len(x) - sum(map(x.count, " \t\xa0")) for x in lines]
     for k, line in enumerate(lines):
-        if line_is_prose(words[k], common[k], line, sum(size[k : k + 3]), sum(many[k : k + 3])):
+        if line_is_prose(words[k], in_line[k], solid[k], common[k], line, broken[k], sum(size[k : k + 3]), sum(many[k : k + 3])):
             prose += solid[k]
     total = max(1, sum(solid))
     n = sum(size)
-    tokens = text.split()
-    letters = sum(len(w) for ws in words for w in ws)
+    letters = sum(in_line)
     digits = sum(map(text.count, "0123456789"))
     ends = sum(x.rstrip()[-1] in ".!?:;…”\"’»)。" for x in lines)
     distinct = len(set().union(*words)) if words else 0
-    damaged = sum(map(len, map(DAMAGED.findall, lines)))
-    long = sum(len(t) for t in tokens if len(t) >= LONG_TOKEN)
+    damaged = sum(broken)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    long = int(lengths[lengths >= LONG_TOKEN].sum())
     return (
         float(total if lines else 0), float(n), letters / max(1, n), max(0.0, (total - letters - digits) / total), digits / total, letters / total,
         ends / max(1, len(lines)), 100 * sum(common) / total, distinct / max(1, n), damaged / max(1, len(tokens)), long / total, prose / total,
