@@ -21,7 +21,7 @@ CELL, MOST_CELLS = 160, 4096
 #: Sub-vectors of a residual and the centroids of each.
 PARTS, CODES = 8, 32
 #: Index rows in a task's group, and candidates reranked for each query and group.
-SHARD, RERANK = 4000, 40
+SHARD, RERANK = 4000, 128
 SEED = 11
 
 
@@ -139,7 +139,7 @@ def _place(reps: DataFrame, index, shards: np.ndarray, probes: int, dim: int) ->
     return reps.mapInArrow(run, f"id {kind}, vector array<float>, cell int, shard int, role tinyint, code binary")
 
 
-def _search(placed: DataFrame, index, k: int, least: float, dim: int) -> DataFrame:
+def _search(placed: DataFrame, index, k: int, least: float, dim: int, rerank: int) -> DataFrame:
     """(id, neighbour, cosine): the best of each query in each group of a cell."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -153,7 +153,7 @@ def _search(placed: DataFrame, index, k: int, least: float, dim: int) -> DataFra
         left, right, score = [], [], []
         if len(inside):
             codes = np.frombuffer(b"".join(t.column("code").take(pa.array(inside)).to_pylist()), np.uint8).reshape(len(inside), -1)
-            keep = min(max(RERANK, 4 * k), len(inside))
+            keep = min(max(rerank, 4 * k), len(inside))
             for a in range(0, len(asking), 512):
                 q = asking[a : a + 512]
                 if keep < len(inside):
@@ -179,7 +179,7 @@ def _search(placed: DataFrame, index, k: int, least: float, dim: int) -> DataFra
     return placed.groupBy("cell", "shard").applyInArrow(run, f"id {kind}, neighbour {kind}, cosine double")
 
 
-def most_similar(spark: SparkSession, table: DataFrame, k: int = 10, queries: Column | None = None, probes: int = 32, least: float = -2.0, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
+def most_similar(spark: SparkSession, table: DataFrame, k: int = 10, queries: Column | None = None, probes: int | None = None, least: float = -2.0, rerank: int = RERANK, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
     """(id, neighbour, cosine, rank): up to `k` most similar other rows of each query row, rank from 1.
 
     `queries`: a condition on the table that chooses the rows to ask for (default: all). `least`: only neighbours of at
@@ -189,9 +189,11 @@ def most_similar(spark: SparkSession, table: DataFrame, k: int = 10, queries: Co
 
     Equal vectors (by two 64-bit hashes) are one class, shown by its least id; the k + 1 least ids of a class stand for
     all its members, so that a group of copies of any size stays linear. Each class is coded in its nearest cell;
-    queries visit the `probes` nearest cells. There, look-up tables over the codes choose the candidates, whose cosines
+    queries visit the `probes` nearest cells (default: a
+    sixteenth of all, at least 32). There, look-up tables over the codes choose the candidates, whose cosines
     are then computed exactly. A cell is cut by hash into groups of about SHARD vectors. Where all rows ask, each pair
-    found counts for both sides. Recall depends on probes; README has the measured figures.
+    found counts for both sides. Recall depends on
+    probes and on rerank, the candidates of a query and group whose cosines are computed; README has the measured figures.
     """
     if dim % PARTS:
         raise ValueError(f"the dimension must be a multiple of {PARTS}")
@@ -209,9 +211,10 @@ def most_similar(spark: SparkSession, table: DataFrame, k: int = 10, queries: Co
     joined = rows.join(copied, ["h", "h2"], "left")
     reps = joined.where("rep is null or rep = id").select("id", "vector", F.coalesce("any", "asked").alias("asked"), F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int").alias("spread"))
     index, share = fit(rows, dim, total)
+    probes = probes or max(32, len(share) // 16)
     shared = spark.sparkContext.broadcast(index)
     shards = np.maximum(1, np.ceil(share * total / SHARD)).astype(np.int64)
-    found = _search(_place(reps, shared, shards, probes, dim), shared, k, least, dim)
+    found = _search(_place(reps, shared, shards, probes, dim), shared, k, least, dim, rerank)
     if queries is None:
         found = found.unionByName(found.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "cosine"))
     best = F.struct((-F.col("cosine")).alias("s"), F.col("neighbour").alias("nb"))
@@ -230,8 +233,8 @@ def most_similar(spark: SparkSession, table: DataFrame, k: int = 10, queries: Co
     return out.select("id", F.col("x.nb").alias("neighbour"), (-F.col("x.s")).alias("cosine"), (F.col("p") + 1).cast("int").alias("rank"))
 
 
-def similar_pairs(spark: SparkSession, table: DataFrame, least: float = 0.9, k: int = 10, probes: int = 3, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
+def similar_pairs(spark: SparkSession, table: DataFrame, least: float = 0.9, k: int = 10, probes: int = 3, rerank: int = 40, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of a cosine of at least `least` of which one is among the k most similar of the
     other. Such near vectors lie in the same or neighbouring cells, so that few probes find all but a trace of them."""
-    lists = most_similar(spark, table, k, None, probes, least, id_col, vector_col, dim)
+    lists = most_similar(spark, table, k, None, probes, least, rerank, id_col, vector_col, dim)
     return lists.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

@@ -33,7 +33,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunk_embeddings")
-    return neighbours.most_similar(spark, chunks, queries=chunks["id"] % 50 == 0, probes=96)
+    return neighbours.most_similar(spark, chunks, queries=chunks["id"] % 50 == 0)
 
 
 def _near(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
