@@ -260,7 +260,7 @@ select coalesce(vb.doc_id, fn.doc_id) as doc_id, chunk_index, round(0.5 * coales
 lex as (select doc_id, row_number() over (order by round(score, 9) desc, doc_id) as lex_rank from bm25 qualify lex_rank <= 100),
 vec as (select doc_id, min(r) as vec_rank from (select doc_id, row_number() over (order by dist, id) as r from near qualify r <= 100) group by doc_id),
 fused as (select coalesce(lex.doc_id, vec.doc_id) as doc_id, lex_rank, vec_rank, round(coalesce(1 / (60 + lex_rank), 0) + coalesce(1 / (60 + vec_rank), 0), 9) as score from lex full join vec on lex.doc_id = vec.doc_id order by score desc, lex_rank nulls last, 1 limit 20)
-select doc_id, score, lex_rank, vec_rank, title, url, source from fused left join documents using (doc_id)""",
+select doc_id, score, cast(lex_rank as integer) as lex_rank, cast(vec_rank as integer) as vec_rank, title, url, source from fused left join documents using (doc_id)""",
     "chat_union_avg": _CHAT + " select coalesce(v.doc_id, hits.doc_id) as doc_id, round(case when v.score is not null and hits.score is not null then (v.score + hits.score) / 2 else coalesce(v.score, hits.score) end, 6) as score from v full join hits on v.doc_id = hits.doc_id",
     "chat_union_first": _CHAT + " select doc_id, score from hits union all select doc_id, score from v where doc_id not in (select doc_id from hits)",
     "rerank_topn": f"with {S.EMB}, {_NEAR} select id, doc_id, round(1 - dist, 6) as score, 'none' as reranker from (select * from near order by dist, id limit 20) order by round(1 - dist, 6) desc, id limit 5",
