@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.runtime import ship
+from quillstone.runtime import ship, spread
 from quillstone.sources.front_matter import sections
 
 TARGET, OVERLAP, MOST, LEAST_SENTENCE, LEAST_CHUNK = 512, 64, 640, 6, 40
@@ -185,6 +185,7 @@ def chunk(spark: SparkSession, documents: DataFrame, strategy: str = "cascade",
     ship(spark)
     run_one = STRATEGIES[strategy]
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    docs = spread(docs, "doc_id") if not docs.isStreaming else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

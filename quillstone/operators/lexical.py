@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quillstone.functions import text as X
 from quillstone.functions.stem import STOP, stem
-from quillstone.runtime import ship, written
+from quillstone.runtime import ship, spread, written
 
 K1, B = 1.2, 0.75
 
@@ -45,7 +45,7 @@ def bm25(spark: SparkSession, docs: DataFrame, fields: Mapping[str, float], quer
     if not words:
         return docs.select(*keep, F.lit(0.0).alias("score")).limit(0)
     names = list(fields)
-    counts = written(spark, term_counts(docs, names, words, keep), "terms")
+    counts = written(spark, term_counts(spread(docs.select(*dict.fromkeys([*keep, *names])), keep[0]), names, words, keep), "terms")
     stats = [F.count("*").alias("n")]
     for f in names:
         stats.append(F.avg(f"len_{f}").alias(f"avg_{f}"))
@@ -82,7 +82,7 @@ def stem_forms(spark: SparkSession, docs: DataFrame, text: str, query: str, most
     def stems(words: pd.Series) -> pd.Series:
         return words.map(stem)
 
-    vocabulary = docs.select(F.explode(X.words(F.col(text))).alias("w")).distinct()
+    vocabulary = spread(docs.select(text), text).select(F.explode(X.words(F.col(text))).alias("w")).distinct()
     firsts = tuple({s[:2] for s in wanted})  # stemming keeps a word's beginning
     rows = vocabulary.where(reduce(Column.__or__, [F.col("w").startswith(p) for p in firsts])).select("w", stems("w").alias("s")).where(F.col("s").isin(wanted)).limit(most).collect()
     return [sorted({r["w"] for r in rows if r["s"] == s} | {s}) for s in wanted]
@@ -96,7 +96,7 @@ def full_text(spark: SparkSession, docs: DataFrame, text: str, query: str, keep:
         return docs.select(*keep, F.lit(0.0).alias("rank")).limit(0)
     own = X.words(F.coalesce(F.col(text), F.lit("")))
     counts = [occurrences("_w", fs) for fs in forms]
-    return docs.select(*keep, own.alias("_w")).select(*keep, F.array(*counts).alias("_n")).where(F.forall("_n", lambda n: n > 0)).select(*keep, F.aggregate("_n", F.lit(0.0), lambda s, n: s + F.log1p(n.cast("double"))).alias("rank"))
+    return spread(docs.select(*dict.fromkeys([*keep, text])), keep[0]).select(*keep, own.alias("_w")).select(*keep, F.array(*counts).alias("_n")).where(F.forall("_n", lambda n: n > 0)).select(*keep, F.aggregate("_n", F.lit(0.0), lambda s, n: s + F.log1p(n.cast("double"))).alias("rank"))
 
 
 def phrase(words_column: Column, query: str, slop: int = 0) -> Column:

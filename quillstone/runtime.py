@@ -94,6 +94,8 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADCAS
     return F.broadcast(df) if n <= most else df
 
 
-def to_sentinel(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns, so that extra columns of a caller's table can't clash with ours."""
-    return df.select(*[df[c] for c in columns])
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` by hash of `key` over all cores, if it is read in fewer partitions than there are; else as it is. For steps
+    of much work per row over small inputs; an input of many partitions is never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
