@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.runtime import ship
+from quillstone.runtime import ship, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the published pattern that splits text before the merges of this vocabulary.
@@ -186,7 +186,8 @@ def encode_documents(spark: SparkSession, documents: DataFrame, id_col: str = "d
 
     Strings that look like special tokens are ordinary text. Null text gives null ids, empty text an empty list. Null
     and repeated doc_ids are passed through row by row; an empty table gives no rows; other columns are not read.
-    Narrow: one pass over the scan, without a shuffle. Only the vocabulary (fixed size) is broadcast.
+    Narrow: one pass over the scan, without a shuffle where the
+    scan has a partition for each core. Only the vocabulary (fixed size) is broadcast.
     """
     ship(spark)
     shared = spark.sparkContext.broadcast(Vocabulary(vocabulary))
@@ -204,4 +205,4 @@ def encode_documents(spark: SparkSession, documents: DataFrame, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "ids"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(documents[id_col].alias("doc_id"), documents[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return spread(documents.select(documents[id_col].alias("doc_id"), documents[text_col].alias("text")), "doc_id").mapInArrow(run, f"doc_id {kind}, ids array<int>")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.runtime import BROADCAST_ROWS, maybe_broadcast, ship, written
+from quillstone.runtime import BROADCAST_ROWS, maybe_broadcast, ship, spread, written
 
 MIN_DOCUMENTS, MIN_SHARE = 5, 0.15
 #: Least counters of one source's summary in one partition; it grows with the lines a document has (see Summary).
@@ -56,7 +56,8 @@ class Summary:
 
 
 def _inputs(documents: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    return documents.select(documents[id_col].alias("doc_id"), documents[source_col].alias("source"), documents[text_col].alias("text")).where("source is not null and text is not null")
+    docs = documents.select(documents[id_col].alias("doc_id"), documents[source_col].alias("source"), documents[text_col].alias("text"))
+    return spread(docs.where("source is not null and text is not null"), "doc_id")
 
 
 def _summaries(docs: DataFrame, share: float) -> DataFrame:
@@ -150,7 +151,7 @@ def without_lines(spark: SparkSession, documents: DataFrame, lines: DataFrame, i
     joined by line and put together again.
     """
     ship(spark)
-    docs = documents.select(documents[id_col].alias("doc_id"), documents[source_col].alias("source"), documents[text_col].alias("text"))
+    docs = spread(documents.select(documents[id_col].alias("doc_id"), documents[source_col].alias("source"), documents[text_col].alias("text")), "doc_id")
     sets = _sets(lines)
     kind = docs.schema["doc_id"].dataType.simpleString()
     if sets is None:

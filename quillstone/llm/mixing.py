@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.bpe import DEFAULT_VOCABULARY, Encoder, Vocabulary, slices
-from quillstone.runtime import ship, written
+from quillstone.runtime import ship, spread, written
 
 SEED = 20
 #: Ranges of the exponential key by which a source is sorted in parts; more of them only make the parts smaller.
@@ -43,7 +43,7 @@ def sizes(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", sou
 
     kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(documents[id_col].alias("doc_id"), documents[source_col].alias("source"), documents[text_col].alias("text")).where(F.length("text") > 0)
-    return docs.mapInArrow(run, f"doc_id {kind}, source string, tokens bigint, quality double")
+    return spread(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, source string, tokens bigint, quality double")
 
 
 def allot(targets: pd.DataFrame) -> pd.DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.runtime import Written, maybe_broadcast, ship, written
+from quillstone.runtime import Written, maybe_broadcast, ship, spread, written
 
 WORDS, SIMILARITY, MIN_WORDS = 5, 0.8, 20
 #: Coordinates of a signature; the chance, at the threshold itself, that a pair shares no band; bytes of the sketch.
@@ -252,6 +252,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, id_col: str = "do
     """
     ship(spark)
     docs = documents.select(documents[id_col].alias("doc_id"), documents[text_col].alias("text")).where("text is not null")
+    docs = spread(docs, "doc_id")
     sketched = written(spark, sketches(docs, words, rows_per_band(similarity), min_words), "sketches")
     members = sketched.select("doc_id", "cls")
     candidates = written(spark, candidate_pairs(spark, sketched, similarity), "candidates")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.lines import _sets, keys_of, repeated_lines
-from quillstone.runtime import ship, written
+from quillstone.runtime import ship, spread, written
 
 #: Frequent function words of English, French, Spanish and German, all of two letters or more.
 COMMON = frozenset(
@@ -133,7 +133,7 @@ def text_statistics(spark: SparkSession, documents: DataFrame, lines: DataFrame
     """(doc_id, STATISTICS...) of every text without its source's repeated `lines` (source, key). Null text: null
     statistics; empty and blank text: zeros. One narrow pass; repeated rows come out repeatedly."""
     ship(spark)
-    docs = documents.select(documents[id_col].alias("doc_id"), documents[source_col].alias("source"), documents[text_col].alias("text"))
+    docs = spread(documents.select(documents[id_col].alias("doc_id"), documents[source_col].alias("source"), documents[text_col].alias("text")), "doc_id")
     sets = _sets(lines) if lines is not None else {}
     if sets is None:
         docs = docs.join(lines.groupBy("source").agg(F.collect_set("key").alias("keys")), "source", "left").select("doc_id", "source", "text", "keys")
