@@ -70,9 +70,9 @@ def bm25(spark: SparkSession, docs: DataFrame, fields: Mapping[str, float], quer
     return rows.select(*keep, score.alias("score")).where("score > 0")
 
 
-def stem_forms(spark: SparkSession, docs: DataFrame, text: str, query: str, most: int = 10_000) -> list[list[str]]:
+def stem_forms(spark: SparkSession, docs: DataFrame, text: str, query: str) -> list[list[str]]:
     """For each distinct stem of the query without stop words: the words of the texts that have this stem. The distinct
-    words, combined before the shuffle, are stemmed once each; only the forms of the query come back."""
+    words, combined before the shuffle, are stemmed once each; only the forms of the query come back: a stem and what the rules can cut from its end."""
     ship(spark)
     wanted = list(dict.fromkeys(stem(w) for w in query_words(query) if w not in STOP))
     if not wanted:
@@ -84,7 +84,7 @@ def stem_forms(spark: SparkSession, docs: DataFrame, text: str, query: str, most
 
     vocabulary = spread(docs.select(text), text).select(F.explode(X.words(F.col(text))).alias("w")).distinct()
     firsts = tuple({s[:2] for s in wanted})  # stemming keeps a word's beginning
-    rows = vocabulary.where(reduce(Column.__or__, [F.col("w").startswith(p) for p in firsts])).select("w", stems("w").alias("s")).where(F.col("s").isin(wanted)).limit(most).collect()
+    rows = vocabulary.where(reduce(Column.__or__, [F.col("w").startswith(p) for p in firsts])).select("w", stems("w").alias("s")).where(F.col("s").isin(wanted)).collect()
     return [sorted({r["w"] for r in rows if r["s"] == s} | {s}) for s in wanted]
 
 

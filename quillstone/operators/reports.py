@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
+from quillstone.runtime import maybe_broadcast
 
 DONE = ("ok", "complete")
 
@@ -71,7 +72,7 @@ def overlap(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame
 def term_coverage(hits: DataFrame, expected: DataFrame, text: str = "content") -> DataFrame:
     """(query, hit, top_match_rate, coverage): whether any hit holds an expected term, the share of hits that do, and the
     share of expected terms that any hit holds. `expected`: query, terms array."""
-    rows = hits.join(F.broadcast(expected), "query").select("query", "terms", X.words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    rows = hits.join(maybe_broadcast(expected), "query").select("query", "terms", X.words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     found = F.array_intersect("terms", "w")
     per = rows.withColumn("found", found).groupBy("query").agg(F.max(F.size("found") > 0).alias("hit"), F.round(F.avg((F.size("found") > 0).cast("int")), 4).alias("top_match_rate"), F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n"), F.max(F.size("terms")).alias("m"))
     return per.select("query", "hit", "top_match_rate", F.round(F.col("n") / F.nullif(F.col("m"), F.lit(0)), 4).alias("coverage"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import processing, reference_queries, retrieval, search
+from quillstone.plans import capabilities, processing, reference_queries, retrieval, search
 
-_MODULES = (search, retrieval, processing, reference_queries)
+_MODULES = (search, capabilities, retrieval, processing, reference_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -15,6 +15,7 @@ from quillstone.operators import predicates as P
 from quillstone.operators.vector import nearest
 from quillstone.plans import sql as S
 from quillstone.plans.sql import QUERY
+from quillstone.runtime import maybe_broadcast
 
 TEXT_QUERY = "negligence insurer premium"
 FIELDS = {"content": 2.0, "title": 4.0}
@@ -187,7 +188,7 @@ def q_related_terms(spark, d):
     chunks = tables.embeddings(spark, d).where("doc_id is not null").select("doc_id", F.explode("md_citations").alias("c")).select("doc_id", F.lower("c").alias("c")).distinct()
     anchor = chunks.agg(F.min("doc_id").alias("a"))
     own = chunks.join(F.broadcast(anchor), F.col("doc_id") == F.col("a"), "left_semi").select("c")
-    return chunks.join(F.broadcast(own), "c", "left_semi").join(F.broadcast(anchor), F.col("doc_id") == F.col("a"), "left_anti").groupBy("doc_id").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "doc_id")
+    return chunks.join(maybe_broadcast(own), "c", "left_semi").join(F.broadcast(anchor), F.col("doc_id") == F.col("a"), "left_anti").groupBy("doc_id").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "doc_id")
 
 
 def q_filtered_boolean_query(spark, d):
