@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,14 +10,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.runtime import ship
 
 
 def hashed(texts: list[str], dim: int) -> np.ndarray:
     """Word counts at a hashed place with a hashed sign, their square roots, as float32 rows."""
-    import re
-
     out = np.zeros((len(texts), dim), np.float32)
     known: dict[str, tuple[int, int]] = {}
     for i, t in enumerate(texts):
@@ -42,4 +42,4 @@ def embed(spark: SparkSession, df: DataFrame, text: str, dim: int = 64, encoder:
             offsets = pa.array(np.arange(0, (len(texts) + 1) * dim, dim, dtype=np.int32), mask=np.r_[[t is None for t in texts], False].astype(bool))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=[*columns, "vector"])
 
-    return df.select(*[F.col(c) for c in columns]).mapInArrow(run, df.schema.add("vector", "array<float>"))
+    return df.select(*[F.col(c) for c in columns]).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
