@@ -80,6 +80,15 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
+def steps(text: Column) -> Column:
+    """`Step n - Label: …` parts of an answer as an array of (step, label, body); the body ends at the next step or at
+    `Final Conclusion`."""
+    marked = F.regexp_replace(text, r"(?m)^(?:Step\s+\d+\s*-|Final Conclusion)", "\u0001$0")
+    parts = F.filter(F.split(marked, "\u0001"), lambda p: p.rlike(r"^Step\s+\d+\s*-"))
+    m = r"(?s)^Step\s+(\d+)\s*-\s*([^:\n]*):?\s*(.*?)\s*$"
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, m, 1).cast("int").alias("step"), F.trim(F.regexp_extract(p, m, 2)).alias("label"), F.regexp_extract(p, m, 3).alias("body")))
+
+
 def highlight(text: Column, terms: list[str], around: int = 80, tag: str = "b") -> Column:
     """A fragment around the first of the terms, with every term in tags; null where none occurs."""
     any_term = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import metadata as M
+from quillstone.runtime import ship
+from quillstone.sources import front_matter
 
 
 def first_known(df: DataFrame, key: Sequence[str], attributes: Sequence[str], order: str) -> DataFrame:
@@ -48,6 +51,28 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str], order:
     return existing.join(newest.select(*key), list(key), "left_anti").unionByName(newest)
 
 
+def sections(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """(doc_id, identifier, section_type, title, content) of each dashed section that has a title or an identifier; the
+    same identifier and title of a document once, nulls being equal. Null and blank texts have none."""
+    ship(spark)
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for head, body in front_matter.sections(text):
+                    identifier, title = (None if head.get(k) is None else str(head[k]) for k in ("section", "title"))
+                    if identifier or title:
+                        rows.append((i, identifier, title, body))
+            at = pa.array([r[0] for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3))], names=["doc_id", "identifier", "title", "content"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.mapInArrow(run, f"doc_id {kind}, identifier string, title string, content string").dropDuplicates(["doc_id", "identifier", "title"])
+    return found.select("doc_id", "identifier", M.section_type(F.coalesce("title", F.lit(""))).alias("section_type"), "title", "content")
+
+
 def names(title: Column, titles: Column) -> Column:
     """The distinct names of a record: its title, other titles, and both parties of `A v B`."""
     empty = F.array().cast("array<string>")

@@ -11,10 +11,12 @@ from quillstone import tables
 from quillstone.functions import metadata as M
 from quillstone.functions import text as X
 from quillstone.operators import chunking, etl, lexical, partitioning, reports
+from quillstone.operators import predicates as P
 from quillstone.operators.vector import nearest
 from quillstone.plans import sql as S
 from quillstone.plans.sql import QUERY
 from quillstone.runtime import maybe_broadcast, table
+from quillstone.sources import files
 
 URLS = ("https://harbour-rulings.example/hcvr/1983/1043.html", "https://meridian-statutes.example/hbrt/2003/1015.html", "https://saltmarsh-court.example/sleg/1993/1023.html")
 
@@ -258,6 +260,35 @@ def q_chunks_by_source_month(spark, d):
     return e.join(maybe_broadcast(docs), "doc_id").groupBy("source", month.alias("month")).agg(F.count("*").alias("chunks"))
 
 
+def q_key_presence(spark, d):
+    """How many chunks have each metadata key, whatever its value, and how many with null."""
+    m = F.col("chunk_metadata")
+    keys = ("type", "jurisdiction", "title", "citations", "tokens_est")
+    e = tables.embeddings(spark, d).where("chunk_metadata is not null").select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), P.key_present(m, k).alias("there"), M.text_of(m, k).isNull().alias("no_value")) for k in keys])).alias("x"))
+    return e.groupBy("x.key").agg(F.count_if("x.there").alias("present"), F.count_if(F.col("x.there") & F.col("x.no_value")).alias("null_value"))
+
+
+def q_parity_field_diff(spark, d):
+    """Fields that only one of two search results has."""
+    a = nearest(tables.embeddings(spark, d), QUERY, 5, ["id", "doc_id", "chunk_index"])
+    b = tables.documents(spark, d).select("doc_id", "source")
+    left, right = reports.field_difference(a, b)
+    return spark.createDataFrame([("left", x) for x in left] + [("right", x) for x in right], "side string, field string")
+
+
+def q_html_text(spark, d):
+    """The titles, put into pages and read back."""
+    page = F.concat(F.lit("<html><head><script>var a = 1;</script></head><nav>menu</nav><p> "), F.coalesce("title", F.lit("")), F.lit("</p><style>p {}</style></html>"))
+    return files.html_texts(tables.documents(spark, d).select("doc_id", page.alias("html")), "html").select("doc_id", "text")
+
+
+def q_etl_sections(spark, d):
+    """Sections of statutes with dashed headers, made of titles and texts."""
+    text = F.concat(F.lit("---\ntitle: "), F.coalesce("title", F.lit("none")), F.lit("\nsection: "), F.col("doc_id") % 7, F.lit("\n---\n"), F.substring(F.translate("content", "-\r", "  "), 1, 200))
+    docs = tables.documents(spark, d).where("format = 'legislation' and content is not null").select("doc_id", text.alias("content"))
+    return etl.sections(spark, docs).select("doc_id", "identifier", "section_type")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _DATE = S.json("date")
@@ -309,4 +340,11 @@ select doc_id, nullif(p.names, '') as names, nullif(p.citation, '') as citation,
     "duplicate_files": "select id, filepath, count(*) as n from embedding_session_files group by all having count(*) > 1",
     "chunks_by_source_month": "select source, strftime(make_timestamp(epoch_us(created_at)), '%Y-%m') as month, count(*) as chunks from chunk_embeddings join documents using (doc_id) group by 1, 2",
 }
+_KEYS = ("type", "jurisdiction", "title", "citations", "tokens_est")
+ORACLES["key_presence"] = " union all ".join(f"select '{k}' as key, count(*) filter (where list_contains(json_keys(chunk_metadata), '{k}')) as present, count(*) filter (where list_contains(json_keys(chunk_metadata), '{k}') and {S.json(k)} is null) as null_value from chunk_embeddings where chunk_metadata is not null" for k in _KEYS)
+ORACLES["parity_field_diff"] = "select * from (values ('left', 'chunk_index'), ('left', 'distance'), ('left', 'id'), ('right', 'source')) t(side, field)"
+ORACLES["etl_sections"] = "select doc_id, cast(doc_id % 7 as varchar) as identifier, case when contains(lower(coalesce(title, 'none')), 'schedule') then 'schedule' when contains(lower(coalesce(title, 'none')), 'regulation') then 'regulation' else 'section' end as section_type from documents where format = 'legislation' and text is not null"
+ORACLES["natural_sort"] = r"with f as (select distinct filepath from embedding_session_files), k as (select filepath, regexp_replace(regexp_replace(lower(filepath), '(\d+)', '00000000000000000000\1', 'g'), '0*(\d{20})(\D|$)', '\1\2', 'g') as k from f) select filepath, cast(row_number() over (order by k, filepath) as integer) as position from k"
+ORACLES["metadata_sanitised"] = "select id, cast(coalesce(" + " + ".join(f"cast({S.json(k)} is not null as integer)" for k in M.KEPT_KEYS) + ", 0) as integer) as keys, " + S.json("type") + " as type, nullif(regexp_extract(" + S.json("year") + r", '((?:18|19|20)\d{2})', 1), '') as year, substr(" + S.json("title") + ", 1, 20) as title from chunk_embeddings"
+ORACLES["context_block"] = f"with {S.EMB}, top as (select doc_id, row_number() over (order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id) as rank from emb where {S.USABLE} qualify rank <= 5), h as (select rank, '[' || row_number() over (order by rank) || '] ' || coalesce(source, '') || chr(10) || case when length(coalesce(text, '')) > 200 then substr(text, 1, 200) || '...' else coalesce(text, '') end as part from top join documents using (doc_id)) select string_agg(part, chr(10) || chr(10) order by rank) as context from h"
 ORACLES["duplicate_files"] = "select id, filepath, n from (select *, count(*) as n from embedding_session_files group by all) where n > 1"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import metadata as M
 from quillstone.functions import text as X
 from quillstone.runtime import ship
-from quillstone.sources import html, front_matter
+from quillstone.sources import front_matter, html
 
 EXTENSION = r"(?i)\.(txt|html)$"
 
@@ -65,6 +65,17 @@ def parsed(spark: SparkSession, *roots: str) -> DataFrame:
     return rows.select("path", F.col("p.metadata").alias("metadata"), F.col("p.body").alias("body"), kind.alias("format"))
 
 
+def html_texts(pages: DataFrame, column: str) -> DataFrame:
+    """The table with `text`, the text of a column of pages; null for null."""
+    ship(pages.sparkSession)
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(html.to_text)
+
+    return pages.withColumn("text", run(column))
+
+
 def pending(files: DataFrame, done: DataFrame) -> DataFrame:
     """Files that no completed file names."""
     return files.join(done.select("path"), "path", "left_anti")

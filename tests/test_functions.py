@@ -89,3 +89,9 @@ def test_highlight(spark):
 @pytest.mark.parametrize("word,want", [("appealed", "appeal"), ("dismissal", "dismiss"), ("relational", "relat"), ("hopping", "hop"), ("hoping", "hope"), ("ponies", "poni"), ("ties", "tie"), ("generously", "generous"), ("skies", "sky"), ("by", "by"), ("agreed", "agre")])
 def test_stems(word, want):
     assert stem(word) == want
+
+
+def test_steps(spark):
+    text = "Intro\nStep 1 - Facts: the dam\nbroke\nStep 2 - Law: s 5\nFinal Conclusion: liable"
+    assert [(s.step, s.label, s.body) for s in one(spark, X.steps(F.col("t")), t=text)] == [(1, "Facts", "the dam\nbroke"), (2, "Law", "s 5")]
+    assert one(spark, X.steps(F.col("t")), t="none") == []
