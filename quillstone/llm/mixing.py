@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.bpe import DEFAULT_VOCABULARY, Encoder, Vocabulary, slices
-from quillstone.runtime import ship, spread, written
+from quillstone.runtime import maybe_broadcast, ship, spread, written
 
 SEED = 20
 #: Ranges of the exponential key by which a source is sorted in parts; more of them only make the parts smaller.
@@ -95,7 +95,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, id_col: s
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
 
     active = plan.where("budget > 0").select("mix_name", "source", "epochs", "rest", "repeats")
-    chosen = docs.where("source is not null").join(F.broadcast(active), "source")
+    chosen = docs.where("source is not null").join(maybe_broadcast(active), "source")
     # uniform in (0, 1): 52 bits of a hash, centred in their step
     u = ((F.xxhash64(F.lit(seed), "mix_name", "doc_id").bitwiseAND(F.lit((1 << 52) - 1))) + F.lit(0.5)) / F.lit(float(1 << 52))
     chosen = chosen.withColumn("key", -F.log(u) / F.col("quality"))

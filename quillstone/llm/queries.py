@@ -99,7 +99,35 @@ ranked as (select a, b, row_number() over (partition by a order by c desc, b) as
 select distinct least(a, b) as id_a, greatest(a, b) as id_b from ranked where r <= 10
 """
 
+#: p2: boundaries become one sign; the parts between them are measured.
+_P2_FOUND = r"""
+with cut as (select doc_id, regexp_replace(regexp_replace(text, '([.!?])[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '\1' || chr(1), 'g'),
+  '[\n\r\x{0b}\x{0c}\x{85}\x{2028}\x{2029}]', chr(1), 'g') as t from documents where length(text) > 4000)
+select doc_id, case when list_max(list_transform(string_split(t, chr(1)), lambda x: length(x))) > 3800 then 'forced' else 'natural' end as cut from cut
+"""
+_P1_CLEAN = r"""
+, every as (select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null),
+marked as (select e.doc_id, e.line, e.line_no, exists (select 1 from named n join found f using (source, key) where n.doc_id = e.doc_id and n.line_no = e.line_no) as gone from every e)
+select doc_id, coalesce(string_agg(line, chr(10) order by line_no) filter (where not gone), '') as text, cast(count(*) filter (where gone) as integer) as removed from marked group by doc_id
+union all select doc_id, null, null from documents where text is null
+"""
+_P5_CLASSES = """
+, keyed as (select doc_id, list_sort(s) as s from sets), classes as (select s, min(doc_id) as class_id, count(*) as copies from keyed group by s),
+reps as (select class_id, len(s) as n, unnest(s) as g from classes),
+links as (select a.class_id as a, b.class_id as b from reps a join reps b on a.g = b.g and a.class_id <> b.class_id group by a.class_id, b.class_id having count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*)))
+select doc_id, class_id, copies, (select count(*) from links where a = class_id) as links from keyed join classes using (s)
+"""
+_P5_GROUPS = """
+, edges as (select a.doc_id as a, b.doc_id as b from flat a join flat b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id having count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach as (select doc_id as a, doc_id as b from sets union select reach.a, edges.b from reach join edges on reach.b = edges.a)
+select a as doc_id, min(b) as group_id from reach group by a
+"""
+
 ORACLES: dict[str, str] = {
+    "p1_clean": _P1_LINES + _P1_CLEAN,
+    "p2_found": _P2_FOUND,
+    "p5_classes": _P5_LINKS + _P5_CLASSES,
+    "p5_groups": _P5_LINKS.replace("with words", "with recursive words") + _P5_GROUPS,
     "p3_found": _P3_FOUND,
     "p5_found": _P5_LINKS + "select a.doc_id as doc_id_a, b.doc_id as doc_id_b from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id having count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*))",
     "p1_found": _P1_LINES + "select doc_id, cast(line_no as integer) as line_no from named join found using (source, key)",
