@@ -347,4 +347,5 @@ ORACLES["etl_sections"] = "select doc_id, cast(doc_id % 7 as varchar) as identif
 ORACLES["natural_sort"] = r"with f as (select distinct filepath from embedding_session_files), k as (select filepath, regexp_replace(regexp_replace(lower(filepath), '(\d+)', '00000000000000000000\1', 'g'), '0*(\d{20})(\D|$)', '\1\2', 'g') as k from f) select filepath, cast(row_number() over (order by k, filepath) as integer) as position from k"
 ORACLES["metadata_sanitised"] = "select id, cast(coalesce(" + " + ".join(f"cast({S.json(k)} is not null as integer)" for k in M.KEPT_KEYS) + ", 0) as integer) as keys, " + S.json("type") + " as type, nullif(regexp_extract(" + S.json("year") + r", '((?:18|19|20)\d{2})', 1), '') as year, substr(" + S.json("title") + ", 1, 20) as title from chunk_embeddings"
 ORACLES["context_block"] = f"with {S.EMB}, top as (select doc_id, row_number() over (order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id) as rank from emb where {S.USABLE} qualify rank <= 5), h as (select rank, '[' || row_number() over (order by rank) || '] ' || coalesce(source, '') || chr(10) || case when length(coalesce(text, '')) > 200 then substr(text, 1, 200) || '...' else coalesce(text, '') end as part from top join documents using (doc_id)) select string_agg(part, chr(10) || chr(10) order by rank) as context from h"
+ORACLES["html_text"] = "select doc_id, trim(coalesce(title, '')) as text from documents"
 ORACLES["duplicate_files"] = "select id, filepath, n from (select *, count(*) as n from embedding_session_files group by all) where n > 1"
