@@ -210,7 +210,7 @@ def most_similar(spark: SparkSession, table: DataFrame, k: int = 10, queries: Co
     copied = maybe_broadcast(copied)
     joined = rows.join(copied, ["h", "h2"], "left")
     reps = joined.where("rep is null or rep = id").select("id", "vector", F.coalesce("any", "asked").alias("asked"), F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int").alias("spread"))
-    index, share = fit(rows, dim, total)
+    index, share = fit(reps, dim, total)  # not rows: copies would crowd the sample
     probes = probes or max(32, len(share) // 16)
     shared = spark.sparkContext.broadcast(index)
     shards = np.maximum(1, np.ceil(share * total / SHARD)).astype(np.int64)
