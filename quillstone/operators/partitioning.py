@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
+from quillstone.runtime import written
 
 
 def even(df: DataFrame, parts: int, order: Sequence[str | Column]) -> DataFrame:
@@ -21,10 +22,18 @@ def round_robin(df: DataFrame, parts: int, order: Sequence[str | Column]) -> Dat
 
 
 def zigzag(df: DataFrame, size: str, tie: str) -> DataFrame:
-    """With `position` from 1: largest, smallest, second largest, second smallest, and so on."""
-    down, up = Window.orderBy(F.desc(size), tie), Window.orderBy(F.asc(size), F.desc(tie))
-    ranked = df.withColumn("_d", F.row_number().over(down)).withColumn("_u", F.row_number().over(up))
-    return ranked.withColumn("position", F.when(F.col("_d") <= F.col("_u"), 2 * F.col("_d") - 1).otherwise(2 * F.col("_u"))).drop("_d", "_u")
+    """With `position` (bigint) from 1: largest, smallest, second largest, second smallest, and so on; null sizes count as
+    the smallest. Rows are sorted in ranges of size and tie: the ranges' counts are prefix-summed and ranks taken within a
+    range, so that a list of any length is no single task. The ranges are written, so that none is drawn twice."""
+    ranged = df.repartitionByRange(F.desc(size), F.asc(tie)).withColumn("_part", F.spark_partition_id())
+    ranged = written(df.sparkSession, ranged, "zigzag")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range only
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(size), F.asc(tie)))
+    ranked = ranged.withColumn("_r", inside).join(F.broadcast(counts), "_part").withColumn("_d", F.col("_ahead") + F.col("_r")).withColumn("_u", F.col("_all") + 1 - F.col("_d"))
+    position = F.when(F.col("_d") <= F.col("_u"), 2 * F.col("_d") - 1).otherwise(2 * F.col("_u"))
+    return ranked.withColumn("position", position).select(*df.columns, "position")
 
 
 def largest_first(sizes: Sequence[tuple[str, int]], bins: int) -> list[list[str]]:

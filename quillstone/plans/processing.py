@@ -96,6 +96,12 @@ def q_natural_sort(spark, d):
 
 def q_zigzag_order(spark, d):
     docs = table(spark, d, "documents").where("n_chars is not null").select("doc_id", "n_chars", "source").where("source = 'harbour-rulings'")
+    return partitioning.zigzag(docs, "n_chars", "doc_id").select("doc_id", F.col("position").cast("int").alias("position"))
+
+
+def q_zigzag_all(spark, d):
+    """The order over the documents of all sources, which zigzag_order has for one source only."""
+    docs = table(spark, d, "documents").where("n_chars is not null").select("doc_id", "n_chars")
     return partitioning.zigzag(docs, "n_chars", "doc_id").select("doc_id", "position")
 
 
@@ -315,6 +321,7 @@ select doc_id, nullif(p.names, '') as names, nullif(p.citation, '') as citation,
     "bucket_routing": f"with {S.EMB}, p as (select doc_id, max(md_database) as db, max(md_type) as md_type, coalesce(max(md_url), '') as u from emb where doc_id is not null group by doc_id) select doc_id, case when upper(db) = 'HCA' then 'hca' else {_TYPED} when contains(lower(u), '/hca/') then 'hca' when contains(lower(u), 'treat') then 'treaties' when contains(lower(u), 'journal') then 'journals' when contains(lower(u), 'legis') then 'legislation' else 'cases' end end as bucket from p",
     "path_metadata": rf"with p as (select id, list_filter(string_split(filepath, '/'), lambda x: x <> '') as p from {_FILES}), f as (select id, p[1:len(p) - 1] as d, p[-1] as file from p) select id, coalesce(array_to_string(list_filter(d, lambda x: not regexp_full_match(x, '(19|20)\d\d')), '/'), '') as folders, file, cast(list_filter(d, lambda x: regexp_full_match(x, '(19|20)\d\d'))[-1] as integer) as year, lower(nullif(regexp_extract(file, '\.([A-Za-z0-9]+)$', 1), '')) as extension from f",
     "zigzag_order": "with r as (select doc_id, row_number() over (order by n_chars desc, doc_id) as d, row_number() over (order by n_chars, doc_id desc) as u from documents where n_chars is not null and source = 'harbour-rulings') select doc_id, cast(case when d <= u then 2 * d - 1 else 2 * u end as integer) as position from r",
+    "zigzag_all": "with r as (select doc_id, row_number() over (order by n_chars desc, doc_id) as d, row_number() over (order by n_chars, doc_id desc) as u from documents where n_chars is not null) select doc_id, cast(case when d <= u then 2 * d - 1 else 2 * u end as bigint) as position from r",
     "even_partition": "select session_name, cast(ntile(7) over (order by session_name) - 1 as integer) as part from embedding_sessions",
     "round_robin_partition": "select session_name, cast((row_number() over (order by session_name) - 1) % 7 as integer) as part from embedding_sessions",
     "gini_sizes": "with r as (select source, n_chars, row_number() over (partition by source order by n_chars) as i from documents where source is not null and n_chars is not null) select source, count(*) as n, round(coalesce(2.0 * sum(i * n_chars) / (count(*) * nullif(sum(n_chars), 0)) - (count(*) + 1) / count(*), 0), 6) as gini from r group by source",

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quillstone.functions import text as X
 from quillstone.operators import etl, fusion, lexical, partitioning, reports
 from quillstone.operators.predicates import boolean
@@ -93,6 +94,28 @@ def test_partitioning(spark):
     assert (bad.missing, bad.repeated, bad.complete) == (1, 1, False)
 
 
+def test_zigzag_ranks_in_ranges(spark):
+    rows = [(i, None if i % 97 == 0 else i * 7 % 50) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, s int").repartition(3)
+    down = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    want = [down[n // 2] if n % 2 == 0 else down[-1 - n // 2] for n in range(len(down))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = partitioning.zigzag(df, "s", "k").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.k, r.s) for r in sorted(out, key=lambda r: r.position)] == want and sorted(r.position for r in out) == list(range(1, 1001))
+    assert len({r.task for r in out}) > 1
+    assert partitioning.zigzag(df.limit(0), "s", "k").count() == 0
+
+
+def test_zigzag_covers_all_sources(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("n_chars is not null")
+    out = entry.queries()["zigzag_all"](spark, data)
+    assert out.join(docs, "doc_id").select("source").distinct().count() == docs.select("source").distinct().count() > 1
+    assert out.count() == docs.count()
+
+
 def test_etl(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "k int, v string")
