@@ -57,9 +57,13 @@ class Corpus:
     def case_name(self, q: str) -> DataFrame:
         return self.best(self.either(self.has_phrase(q, 8, field="title"), self.has_phrase(q, 5), self.text(q, {"title": 3.0}, "and")))
 
-    def citation(self, q: str) -> DataFrame:
+    def cited(self, q: str) -> DataFrame:
+        """All documents that carry or quote a citation, uncapped."""
         exact = self.chunks.where(F.exists("md_citations", lambda c: F.lower(c) == q.lower()) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("score", F.lit(12.0))
-        return self.best(self.either(exact, self.has_phrase(q, 6)))
+        return self.either(exact, self.has_phrase(q, 6))
+
+    def citation(self, q: str) -> DataFrame:
+        return self.best(self.cited(q))
 
     def legislation(self, q: str) -> DataFrame:
         return self.best(self.text(q, {"title": 8.0, "content": 1.0}, "and", F.col("format") == "legislation"))
@@ -98,10 +102,11 @@ class Corpus:
         return self.best(self.text(q, {"title": 4.0, "content": 3.0}, "or", F.col("format") == "legislation"))
 
     def tracing(self, citation: str) -> DataFrame:
-        """Documents that carry or quote a citation, the oldest first; score is the year."""
-        found = self.either(self.citation(citation)).select("doc_id")
+        """Of all documents that carry or quote a citation the oldest, in order; score is the year. Those of unknown year
+        come last."""
+        found = self.cited(citation).select("doc_id")
         year = self.chunks.groupBy("doc_id").agg(F.min("md_year").cast("double").alias("score"))
-        return found.join(year, "doc_id").orderBy("score", "doc_id").limit(self.top_k)
+        return found.join(year, "doc_id", "left").orderBy(F.asc_nulls_last("score"), "doc_id").limit(self.top_k)
 
     def argument(self, q: str, v: Sequence[float]) -> DataFrame:
         near = self.vectors(v)

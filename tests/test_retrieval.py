@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from quillstone.functions import text as X
 from quillstone.operators import etl, fusion, lexical, partitioning, reports
 from quillstone.operators.predicates import boolean
+from quillstone.plans import capabilities
 
 
 def scores(spark, values):
@@ -94,6 +95,18 @@ def test_partitioning(spark):
     assert (bad.missing, bad.repeated, bad.complete) == (1, 1, False)
 
 
+def test_tracing_takes_the_oldest_of_all(spark):
+    # 30 documents carry the citation, 5 quote it only; the later the doc_id, the older; three years are unknown
+    quoted = lambda i: "as held in [2010] ABC 1, so" if i > 30 else "nothing"
+    docs = spark.createDataFrame([(i, quoted(i), "t") for i in range(1, 36)], "doc_id bigint, content string, title string")
+    year = lambda i: None if i in (1, 2, 35) else 2020 - i
+    chunks = spark.createDataFrame([(i, ["[2010] abc 1"] if i <= 30 else [], year(i)) for i in range(1, 36)], "doc_id bigint, md_citations array<string>, md_year int")
+    got = [(r.doc_id, r.score) for r in capabilities.Corpus(spark, docs, chunks).tracing("[2010] ABC 1").collect()]
+    assert got == [(i, 2020.0 - i) for i in range(34, 14, -1)]
+    every = capabilities.Corpus(spark, docs, chunks.where("doc_id <> 34"), 40).tracing("[2010] ABC 1").collect()
+    assert len(every) == 35 and [r.doc_id for r in every[-4:]] == [1, 2, 34, 35]
+
+
 def test_zigzag_ranks_in_ranges(spark):
     rows = [(i, None if i % 97 == 0 else i * 7 % 50) for i in range(1000)]
     df = spark.createDataFrame(rows, "k int, s int").repartition(3)
