@@ -288,6 +288,13 @@ def q_html_text(spark, d):
     return files.html_texts(tables.documents(spark, d).select("doc_id", page.alias("html")), "html").select("doc_id", "text")
 
 
+def q_html_text_whole(spark, d):
+    """The whole texts, escaped, put into pages under their titles and read back."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<html><head><script>var a = 1;</script></head><nav>menu</nav><h1>"), escaped("title"), F.lit("</h1><p>"), escaped("content"), F.lit("</p><style>p {}</style></html>"))
+    return files.html_texts(tables.documents(spark, d).select("doc_id", page.alias("html")), "html").select("doc_id", "text")
+
+
 def q_etl_sections(spark, d):
     """Sections of statutes with dashed headers, made of titles and texts."""
     text = F.concat(F.lit("---\ntitle: "), F.coalesce("title", F.lit("none")), F.lit("\nsection: "), F.col("doc_id") % 7, F.lit("\n---\n"), F.substring(F.translate("content", "-\r", "  "), 1, 200))
@@ -355,4 +362,6 @@ ORACLES["natural_sort"] = r"with f as (select distinct filepath from embedding_s
 ORACLES["metadata_sanitised"] = "select id, cast(coalesce(" + " + ".join(f"cast({S.json(k)} is not null as integer)" for k in M.KEPT_KEYS) + ", 0) as integer) as keys, " + S.json("type") + " as type, nullif(regexp_extract(" + S.json("year") + r", '((?:18|19|20)\d{2})', 1), '') as year, substr(" + S.json("title") + ", 1, 20) as title from chunk_embeddings"
 ORACLES["context_block"] = f"with {S.EMB}, top as (select doc_id, row_number() over (order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id) as rank from emb where {S.USABLE} qualify rank <= 5), h as (select rank, '[' || row_number() over (order by rank) || '] ' || coalesce(source, '') || chr(10) || case when length(coalesce(text, '')) > 200 then substr(text, 1, 200) || '...' else coalesce(text, '') end as part from top join documents using (doc_id)) select string_agg(part, chr(10) || chr(10) order by rank) as context from h"
 ORACLES["html_text"] = "select doc_id, trim(coalesce(title, '')) as text from documents"
+_SPACE = "' ' || " + " || ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+ORACLES["html_text_whole"] = f"select doc_id, concat_ws(chr(10), nullif(trim(title, {_SPACE}), ''), nullif(trim(text, {_SPACE}), '')) as text from documents"
 ORACLES["duplicate_files"] = "select id, filepath, n from (select *, count(*) as n from embedding_session_files group by all) where n > 1"

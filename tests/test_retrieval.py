@@ -142,3 +142,11 @@ def test_etl(spark):
 def test_nearest_rank_rounds_halves_to_even(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 7)], "v double")
     assert df.agg(reports.nearest_rank(F.col("v"), 0.5).alias("x")).collect()[0].x == 3.0  # rank round(2.5) = 2, from 0
+
+
+def test_html_pages_hold_whole_texts(spark, tmp_path):
+    texts = ["a < b & c > d &amp; e\r\n" * 2000 + "end", " \u2003<p>x</p>\n", None]
+    rows = [(i, "s", t, "case", "u", title, "en") for i, (t, title) in enumerate(zip(texts, [" T & <b> ", None, "only"]))]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string, format string, url string, title string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in entry.queries()["html_text_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: "T & <b>\n" + texts[0], 1: "<p>x</p>", 2: "only"}
