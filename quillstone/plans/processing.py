@@ -302,6 +302,13 @@ def q_etl_sections(spark, d):
     return etl.sections(spark, docs).select("doc_id", "identifier", "section_type")
 
 
+def q_etl_sections_whole(spark, d):
+    """The same of whole texts, with the sections' content."""
+    text = F.concat(F.lit("---\ntitle: "), F.coalesce("title", F.lit("none")), F.lit("\nsection: "), F.col("doc_id") % 7, F.lit("\n---\n"), F.translate("content", "-\r", "  "))
+    docs = tables.documents(spark, d).where("format = 'legislation' and content is not null").select("doc_id", text.alias("content"))
+    return etl.sections(spark, docs).select("doc_id", "identifier", "section_type", "content")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _DATE = S.json("date")
@@ -364,4 +371,6 @@ ORACLES["context_block"] = f"with {S.EMB}, top as (select doc_id, row_number() o
 ORACLES["html_text"] = "select doc_id, trim(coalesce(title, '')) as text from documents"
 _SPACE = "' ' || " + " || ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 ORACLES["html_text_whole"] = f"select doc_id, concat_ws(chr(10), nullif(trim(title, {_SPACE}), ''), nullif(trim(text, {_SPACE}), '')) as text from documents"
+_BREAKS = "[" + "".join(rf"\x{{{c:x}}}" for c in (11, 12, 28, 29, 30, 0x85, 0x2028, 0x2029)) + "]"
+ORACLES["etl_sections_whole"] = ORACLES["etl_sections"].replace(" from documents", f", trim(regexp_replace(replace(replace(text, '-', ' '), chr(13), ' '), '{_BREAKS}', chr(10), 'g'), {_SPACE}) as content from documents")
 ORACLES["duplicate_files"] = "select id, filepath, n from (select *, count(*) as n from embedding_session_files group by all) where n > 1"

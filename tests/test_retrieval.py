@@ -150,3 +150,11 @@ def test_html_pages_hold_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, source string, text string, format string, url string, title string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in entry.queries()["html_text_whole"](spark, str(tmp_path)).collect()}
     assert got == {0: "T & <b>\n" + texts[0], 1: "<p>x</p>", 2: "only"}
+
+
+def test_sections_hold_whole_texts(spark, tmp_path):
+    text = "A statute. " * 500 + "last word"
+    rows = [(8, "s", text, "legislation", "u", "Wharf Schedule", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string, format string, url string, title string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["etl_sections_whole"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(8, "1", "schedule", text)]
