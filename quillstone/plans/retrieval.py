@@ -156,6 +156,13 @@ def q_knn_score(spark, d):
     return rows.select("id", F.round(V.knn_score(F.col("vector"), V.literal(QUERY)), 6).alias("score"), F.round(V.negative_inner_product(F.col("vector"), V.literal(QUERY)), 4).alias("neg_dot"))
 
 
+def q_knn_score_all(spark, d):
+    """The score of every usable chunk, which knn_score has for one type only."""
+    chunks, _ = _both(spark, d)
+    rows = chunks.where(V.usable(F.col("vector"), 64))
+    return rows.select("id", F.round(V.knn_score(F.col("vector"), V.literal(QUERY)), 6).alias("score"), F.round(V.negative_inner_product(F.col("vector"), V.literal(QUERY)), 4).alias("neg_dot"))
+
+
 def q_latest_chunk_per_document(spark, d):
     """The newest stored version of each chunk; of equal times the largest id."""
     chunks, _ = _both(spark, d)
@@ -163,7 +170,7 @@ def q_latest_chunk_per_document(spark, d):
     return chunks.where("doc_id is not null").select("id", "doc_id", "chunk_index", F.row_number().over(newest).alias("r")).where("r = 1").select("id", "doc_id", "chunk_index")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__[2:]: f for f in (q_vector_topk, q_vector_filtered, q_metadata_filter, q_citation_member, q_cases_by_citation, q_cases_by_name_trgm, q_cases_by_name_lev, q_legislation_title_trgm, q_types_title_trgm, q_title_search_doc_group, q_source_approx, q_ann_filters_postfilter, q_two_phase_refine, q_knn_score, q_latest_chunk_per_document)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__[2:]: f for f in (q_vector_topk, q_vector_filtered, q_metadata_filter, q_citation_member, q_cases_by_citation, q_cases_by_name_trgm, q_cases_by_name_lev, q_legislation_title_trgm, q_types_title_trgm, q_title_search_doc_group, q_source_approx, q_ann_filters_postfilter, q_two_phase_refine, q_knn_score, q_knn_score_all, q_latest_chunk_per_document)}
 
 
 def _title_sql(query: str, condition: str, shortlist: int | None, limit: int | None, per_document: bool, threshold: float = 0.3) -> str:
@@ -199,5 +206,6 @@ select doc_id, url, jurisdiction, case_date, court, case_name, cast(distance as
     "ann_filters_postfilter": f"with {S.EMB}, {S.VEC}, top as (select * from vec where md_type in ('case', 'journal') and md_date >= date '1990-01-01' order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id limit 200) select id, doc_id, chunk_index, distance, url, md_type, md_database as court, md_jurisdiction, md_date, md_year, md_title as title from top join documents using (doc_id) where {S.similarity('md_title_lc', 're wharf pty ltd')} >= 0.3",
     "two_phase_refine": f"with {S.EMB}, {S.VEC}, rough as (select * from vec order by 1 - list_cosine_similarity(cast(vector[1:16] as double[]), ({S.QUERY_SQL})[1:16]) nulls last, id limit 200) select id, doc_id, chunk_index, distance from rough order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id limit 20",
     "knn_score": f"with {S.EMB} select id, round((1 + list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL})) / 2, 6) as score, round(-list_dot_product(cast(vector as double[]), {S.QUERY_SQL}), 4) as neg_dot from emb where md_type = 'treaty' and {S.USABLE}",
+    "knn_score_all": f"with {S.EMB} select id, round((1 + list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL})) / 2, 6) as score, round(-list_dot_product(cast(vector as double[]), {S.QUERY_SQL}), 4) + 0.0 as neg_dot from emb where {S.USABLE}",
     "latest_chunk_per_document": "select id, doc_id, chunk_index from (select *, row_number() over (partition by doc_id, chunk_index order by created_at desc nulls last, id desc) as r from chunk_embeddings where doc_id is not null) where r = 1",
 }

@@ -158,3 +158,9 @@ def test_sections_hold_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, source string, text string, format string, url string, title string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = entry.queries()["etl_sections_whole"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(8, "1", "schedule", text)]
+
+
+def test_knn_score_covers_all_types(spark, data):
+    chunks = spark.read.parquet(f"{data}/chunk_embeddings.parquet")
+    types = entry.queries()["knn_score_all"](spark, data).join(chunks, "id").select("md_type").distinct().count()
+    assert types == chunks.where("vector is not null").select("md_type").distinct().count() > 1
