@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions import text as X
-from quillstone.functions.stem import STOP, stem
+from quillstone.functions.stem import SPECIAL, STOP, stem
 from quillstone.runtime import ship, spread, written
 
 K1, B = 1.2, 0.75
@@ -83,8 +83,9 @@ def stem_forms(spark: SparkSession, docs: DataFrame, text: str, query: str) -> l
         return words.map(stem)
 
     vocabulary = spread(docs.select(text), text).select(F.explode(X.words(F.col(text))).alias("w")).distinct()
-    firsts = tuple({s[:2] for s in wanted})  # stemming keeps a word's beginning
-    rows = vocabulary.where(reduce(Column.__or__, [F.col("w").startswith(p) for p in firsts])).select("w", stems("w").alias("s")).where(F.col("s").isin(wanted)).collect()
+    firsts = tuple({s[:2] for s in wanted})  # stemming keeps a word's beginning, but for some words with a stem of their own
+    own = [w for w, s in SPECIAL.items() if s in wanted]
+    rows = vocabulary.where(reduce(Column.__or__, [F.col("w").startswith(p) for p in firsts], F.col("w").isin(own))).select("w", stems("w").alias("s")).where(F.col("s").isin(wanted)).collect()
     return [sorted({r["w"] for r in rows if r["s"] == s} | {s}) for s in wanted]
 
 

@@ -164,3 +164,9 @@ def test_knn_score_covers_all_types(spark, data):
     chunks = spark.read.parquet(f"{data}/chunk_embeddings.parquet")
     types = entry.queries()["knn_score_all"](spark, data).join(chunks, "id").select("md_type").distinct().count()
     assert types == chunks.where("vector is not null").select("md_type").distinct().count() > 1
+
+
+def test_full_text_counts_words_with_a_stem_of_their_own(spark):
+    df = spark.createDataFrame([(1, "lying there"), (2, "the lie"), (3, "dying"), (4, "dies"), (5, "tying"), (6, "none")], "id int, content string")
+    hits = lambda q: sorted(r.id for r in lexical.full_text(spark, df, "content", q, ["id"]).collect())
+    assert hits("lie") == [1, 2] and hits("dying") == [3, 4] and hits("tie") == [5] and hits("lies dying") == []
