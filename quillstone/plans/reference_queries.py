@@ -15,7 +15,8 @@ def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return references.direct_orphans(_tables(spark, d))
+    found = references.orphans(spark, _tables(spark, d)).where("kind = 'direct'")
+    return found.select("table_name", "record_id", "period", "reason")
 
 
 def p4_cascade(spark: SparkSession, d: str) -> DataFrame:

@@ -62,3 +62,14 @@ def test_empty_tables(spark):
     none = tables(spark, [], [], [])
     found = direct_orphans({"child": full["child"], "parent": none["parent"], "root": none["root"]}, GRAPH)
     assert {r.reason for r in found.collect()} == {"missing"}
+
+
+def test_found_comes_from_the_cascade(spark, data, monkeypatch):
+    from quillstone.operators import references
+    from quillstone.plans import reference_queries
+
+    asked, whole = [], references.orphans
+    monkeypatch.setattr(references, "orphans", lambda *a: asked.append(1) or whole(*a))
+    found = reference_queries.p4_found(spark, data)
+    direct = direct_orphans(reference_queries._tables(spark, data))
+    assert asked and found.columns == direct.columns and sorted(found.collect()) == sorted(direct.collect())
