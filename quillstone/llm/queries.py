@@ -20,7 +20,7 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return split.cut_kinds(split.split_documents(spark, table(spark, d, "documents"), with_text=False))
+    return split.run_kinds(spark, table(spark, d, "documents"))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
