@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.runtime import BROADCAST_ROWS
+from quillstone.runtime import BROADCAST_ROWS, fits
 
 #: A key is hot if it holds more than this share of the child rows; so there are at most as many as its inverse.
 HOT_SHARE = 0.001
 
 
-def left_join_unique(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """child left join parent on `key`, which is unique in parent.
+def left_join_unique(child: DataFrame, parent: DataFrame, key: str | Sequence[str], rows: int | None = None) -> DataFrame:
+    """child left join parent on `key`, one column or several, which is unique in parent.
 
-    A parent of at most BROADCAST_ROWS rows (counted) is broadcast. A larger one is shuffled, except for the rows of hot
-    child keys: there are at most 1 / HOT_SHARE of them, so that these are broadcast and hot child rows stay where they are.
+    A parent within the bounds of a broadcast (counted; `rows` instead of BROADCAST_ROWS, if given) is broadcast. A larger
+    one is shuffled, except for the rows of hot child keys: there are at most 1 / HOT_SHARE of them, so that these are
+    broadcast and hot child rows stay where they are.
     """
-    if parent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return child.join(F.broadcast(parent), key, "left")
-    counts = child.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    keys = [key] if isinstance(key, str) else list(key)
+    if fits(parent, BROADCAST_ROWS if rows is None else rows):
+        return child.join(F.broadcast(parent), keys, "left")
+    counts = child.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n"))
     total = child.count()
-    hot = counts.where(F.col("n") > F.lit(max(10_000, int(total * HOT_SHARE)))).select(key)
+    hot = counts.where(F.col("_n") > F.lit(max(10_000, int(total * HOT_SHARE)))).select(*keys)
     if hot.isEmpty():
-        return child.join(parent, key, "left")
-    few = F.broadcast(parent.join(F.broadcast(hot), key, "left_semi"))
-    often = child.join(F.broadcast(hot), key, "left_semi").join(few, key, "left")
-    return often.unionByName(child.join(F.broadcast(hot), key, "left_anti").join(parent, key, "left"))
+        return child.join(parent, keys, "left")
+    few = F.broadcast(parent.join(F.broadcast(hot), keys, "left_semi"))
+    often = child.join(F.broadcast(hot), keys, "left_semi").join(few, keys, "left")
+    return often.unionByName(child.join(F.broadcast(hot), keys, "left_anti").join(parent, keys, "left"))

@@ -9,11 +9,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if its rows, counted first, are at most this many.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if its rows and their bytes, counted first, are at most so many.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
@@ -58,20 +59,47 @@ class Written:
 
     def drop(self) -> None:
         _delete(self.spark, self.path)
+        if (self.spark, self.path) in _written:
+            _written.remove((self.spark, self.path))
 
 
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """`df` read back from a table in the shared folder; the files stay until the session ends."""
+    """`df` read back from a table in the shared folder; the files stay until release() or the end of the session."""
     return Written(spark, df, tag).df
 
 
-@atexit.register
-def _cleanup() -> None:
-    for spark, path in _written:
+class Scope:
+    """Written tables of one operator: on leaving, all but those written with keep=True are dropped. What a lazy result
+    still reads must be kept; release() drops it once the result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.passing = spark, []
+
+    def __enter__(self) -> Scope:
+        return self
+
+    def written(self, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+        w = Written(self.spark, df, tag)
+        if not keep:
+            self.passing.append(w)
+        return w.df
+
+    def __exit__(self, *_) -> None:
+        for w in self.passing:
+            w.drop()
+
+
+def release() -> None:
+    """Drop every table written so far. For long sessions, between results that have been stored."""
+    while _written:
+        spark, path = _written.pop()
         try:
             _delete(spark, path)
         except Exception:  # the JVM may be gone
-            return
+            continue
+
+
+atexit.register(release)
 
 
 def ship(spark: SparkSession) -> None:
@@ -88,10 +116,31 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows; else as it is, for a shuffled join."""
-    n = df.limit(most + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and binaries by their length, other nested values by their JSON."""
+    size: Column = F.lit(16)
+    for f in df.schema.fields:
+        kind = f.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0)) + 8
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            size = size + F.coalesce(8 * F.size(f.name), F.lit(0)) + 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0)) + 8
+        else:
+            size = size + 8
+    return size
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether `df` has at most so many rows and bytes. Not more than rows + 1 sizes are looked at."""
+    n, total = df.select(row_bytes(df).cast("bigint").alias("b")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if its rows and bytes are within the bounds; else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
