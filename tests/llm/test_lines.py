@@ -2,8 +2,11 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quillstone.llm import lines
 from quillstone.llm.lines import Summary, keys_of
+from quillstone.runtime import Scope
 
 SCHEMA = "doc_id bigint, source string, text string, key string, n int, line_no int"
 
@@ -55,12 +58,14 @@ def test_clean(spark):
     assert out[0] == ("kept a\n", 2) and out[9] == ("Notice", 0) and out[10] == (None, None) and out[11] == ("Notice\r\n", 0)
 
 
-def test_more_lines_than_can_be_broadcast(spark, monkeypatch):
-    rows = [(i, "s", f"Notice\nkept {'abcdef'[i]}") for i in range(6)]
+def test_more_lines_than_one_round_holds(spark, monkeypatch):
+    rows = [(6 * k + i, f"s{k}", f"Notice {'xyz'[k]}\nkept {'abcdef'[i]}") for i in range(6) for k in range(3)] + [(90, None, "Notice x")]
     want = found(spark, rows)
-    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
-    assert found(spark, rows) == want == {(i, 0) for i in range(6)}
+    monkeypatch.setattr(lines, "ROUND_LINES", 1)
+    monkeypatch.setattr(lines, "TASK_COUNTERS", 3)
+    assert found(spark, rows) == want == {(i, 0) for i in range(18)}
     df = docs(spark, rows)
+    assert lines.without_lines(spark, df, lines.repeated_lines(spark, df)[0]).count() == len(rows)
     out = {r.doc_id: r.text for r in lines.without_lines(spark, df, lines.repeated_lines(spark, df)[0]).collect()}
     assert out[3] == "kept d"
 
@@ -70,5 +75,18 @@ def test_summary_never_loses_a_heavy_line(monkeypatch):
     s = Summary(0.15)
     for i in range(400):
         s.add({f"u{i}-{j}" for j in range(30)} | ({"heavy"} if i % 6 == 0 else set()))
-    heavy, slack = s.heavy()
+    heavy, extra, slack = s.heavy()
+    assert all(e >= 1 for e in extra)
     assert "heavy" in heavy and s.missed < 0.15 * 400 and slack >= s.missed and s.missed > 0
+
+
+def test_few_lines_of_many_small_sources_are_candidates(spark):
+    """50,000 sources, most of one document: only what five documents share is looked for in the second pass."""
+    text = F.concat(F.lit("A notice of "), "source", F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij"), F.lit(" own line "), F.element_at(F.array(*map(F.lit, "abcdefghijkl")), i))), "\n"))
+    source = F.when(F.col("doc_id") < 49_000, F.col("doc_id")).otherwise(49_000 + F.col("doc_id") % 1000)
+    df = spark.range(55_000).select(F.col("id").alias("doc_id")).withColumn("source", source.cast("string")).withColumn("text", text)
+    with Scope(spark) as scope:
+        candidates, totals = lines.candidate_lines(scope, lines._inputs(df, "doc_id", "source", "text"), 5, 0.15)
+        assert totals.count() == 1000
+        assert 1000 <= candidates.count() <= 13 * 55_000 / 100
+    assert lines.repeated_lines(spark, df)[1].count() == 6000
