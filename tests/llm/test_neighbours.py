@@ -81,3 +81,42 @@ def test_cells_cut_into_groups(spark, monkeypatch):
     got = {(r.id, r.neighbour) for r in neighbours.most_similar(spark, table(spark, enumerate(x)), k=3, probes=100).collect()}
     want = {(i, j) for i, near in brute(list(range(300)), x, 3).items() for j in near}
     assert len(got & want) >= 0.98 * len(want)
+
+
+def test_exact_mode_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 16))
+    got = {}
+    for r in neighbours.most_similar(spark, table(spark, enumerate(x)), k=4, exact=True, dim=16).collect():
+        got.setdefault(r.id, {})[r["rank"]] = r.neighbour
+    assert {i: [g[n] for n in sorted(g)] for i, g in got.items()} == brute(list(range(400)), x, 4)
+
+
+def test_two_levels_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 5)
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 30)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(0, 60, 3000)] + 0.3 * rng.normal(size=(3000, 64))
+    df = table(spark, enumerate(x))
+    index, share, visits = neighbours.fit(df.where("vector is not null"), 64, 3000, 40, 2.0)
+    assert len(index) > 30 and abs(visits.sum() - 40) < 1e-6
+    near, _ = index.cells(neighbours.unit_rows(df.select("vector").toArrow().column("vector").combine_chunks(), 64).astype(np.float32), 40, 2.0)
+    assert len(np.unique(near[:, 0])) > 30
+    got = {}
+    for r in neighbours.most_similar(spark, df, k=10, queries=df["id"] % 50 == 0, probes=60).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    want = brute(list(range(3000)), x, 10, step=50)
+    assert sum(len(got[i] & set(want[i])) for i in got) >= 0.9 * 10 * len(got)
+
+
+def test_hot_cells_and_hubs(spark, monkeypatch):
+    """One cell of nearly all vectors, cut into groups on both sides, and a vector near to all others."""
+    monkeypatch.setattr(neighbours, "SHARD", 40)
+    monkeypatch.setattr(neighbours, "ASKING", 30)
+    rng = np.random.default_rng(8)
+    x = 1 + 0.3 * rng.normal(size=(300, 64))
+    x[0] = 1
+    got = {(r.id, r.neighbour) for r in neighbours.most_similar(spark, table(spark, enumerate(x)), k=3, probes=100).collect()}
+    want = {(i, j) for i, near in brute(list(range(300)), x, 3).items() for j in near}
+    assert len(got & want) >= 0.98 * len(want) and all((i, 0) in got for i in range(1, 300))
