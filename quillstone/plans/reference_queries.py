@@ -44,14 +44,17 @@ with refs as (
     case when missing then 'missing' when gone then 'deleted' when since > own then 'late' end as reason from refs
 )
 """
-_CASCADE = _FOUND.replace("with refs", "with recursive refs") + """, known as (
-  select *, 'direct' as kind, 0 as depth from direct where reason is not null
-), step as (
-  select 'chunk_embeddings' as table_name, c.id as record_id, coalesce(strftime(make_timestamp(epoch_us(c.created_at)), '%Y-%m'), 'none') as period,
-    'inherited' as reason, 'inherited' as kind, 1 as depth
-  from chunk_embeddings c where c.doc_id in (select record_id from known where table_name = 'documents')
-    and c.id not in (select record_id from known where table_name = 'chunk_embeddings')
-), every as (select * from known union all select * from step)
+_CASCADE = _FOUND.replace("with refs", "with recursive refs") + """, links as (
+  select 'chunk_embeddings' as table_name, id as record_id, created_at as own, 'documents' as parent, doc_id as parent_id from chunk_embeddings where doc_id is not null
+), rows as (
+  select table_name, record_id, period, reason, 0 as depth from direct where reason is not null
+  union
+  select l.table_name, l.record_id, coalesce(strftime(make_timestamp(epoch_us(l.own)), '%Y-%m'), 'none'), 'inherited', depth + 1
+  from rows r join links l on l.parent = r.table_name and l.parent_id = r.record_id
+), every as (
+  select table_name, record_id, period, case when depth = 0 then 'direct' else 'inherited' end as kind, reason, depth
+  from (select *, min(depth) over (partition by table_name, record_id) as least from rows) where depth = least
+)
 """
 ORACLES = {
     "p4_found": _FOUND + "select * from direct where reason is not null",

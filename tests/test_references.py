@@ -73,3 +73,14 @@ def test_found_comes_from_the_cascade(spark, data, monkeypatch):
     found = reference_queries.p4_found(spark, data)
     direct = direct_orphans(reference_queries._tables(spark, data))
     assert asked and found.columns == direct.columns and sorted(found.collect()) == sorted(direct.collect())
+
+
+def test_three_levels_and_several_names_of_a_row(spark):
+    """a <- b <- c <- d; rows of b are named by `id` in one reference and by `code` in the other, whose values overlap."""
+    a = spark.createDataFrame([(1, T1)], "id bigint, at timestamp")
+    b = spark.createDataFrame([(1, 2, 1, 1, T1), (2, 1, 9, 1, T1), (3, 4, 1, 8, T1)], "id bigint, code bigint, up bigint, other bigint, at timestamp")
+    c = spark.createDataFrame([(10, 1, T1), (20, 2, T1), (30, 3, T1)], "id bigint, ref bigint, at timestamp")
+    d = spark.createDataFrame([(100, 10, T1), (200, 20, T1), (300, 30, None)], "id bigint, ref bigint, at timestamp")
+    graph = (Reference("b", "up", "id", "at", "a", "id", "at"), Reference("b", "other", "code", "at", "a", "id", "at"), Reference("c", "ref", "id", "at", "b", "id", "at"), Reference("d", "ref", "id", "at", "c", "id", "at"))
+    found = {(r.table_name, r.record_id, r.reason, r.depth) for r in orphans(spark, {"a": a, "b": b, "c": c, "d": d}, graph).collect()}
+    assert found == {("b", 2, "missing", 0), ("b", 4, "missing", 0), ("c", 20, "inherited", 1), ("c", 30, "inherited", 1), ("d", 200, "inherited", 2), ("d", 300, "inherited", 2)}
