@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.runtime import Written, maybe_broadcast, ship, spread, written
+from quillstone.operators.joins import left_join_unique
+from quillstone.runtime import Scope, Written, maybe_broadcast, ship, spread, written
 
 WORDS, SIMILARITY, MIN_WORDS = 5, 0.8, 20
 #: Coordinates of a signature; the chance, at the threshold itself, that a pair shares no band; bytes of the sketch.
@@ -27,6 +28,8 @@ PLACES = 1 << 20
 #: Classes of a bucket that are paired by a join; a larger bucket is compared in tiles of TILE x TILE sketches.
 BUCKET, TILE = 100, 512
 BATCH_CHARS, CACHE_WORDS = 2_000_000, 500_000
+#: Band entries in a partition aimed at, so that partitions follow the data; members of a class that meet in one task.
+ENTRIES, BLOCK = 1_000_000, 2000
 
 WORD = re.compile(r"[^\W_]+")
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -109,24 +112,30 @@ def _groups(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[tuple
             begin, size = i + 1, 0
 
 
+def names_of(shingles: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of a shingle set."""
+    return int(mix(shingles + M1).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(shingles ^ M2)).view(np.int64))
+
+
 def sketches(docs: DataFrame, words: int, rows: int, min_words: int) -> DataFrame:
-    """(doc_id, cls, shingles, sketch, keys): cls names the shingle set; sketch and keys are null if the task met it before."""
+    """(doc_id, name, check, shingles, sketch, keys): name and check name the shingle set; sketch and keys are null if
+    the task met it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, circulant, seen = Shingler(words), Circulant(), set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _groups(texts):
-                at, cls, size, sketch, keys = [], [], [], [], []
+                at, names, size, sketch, keys = [], [], [], [], []
                 for i, s in enumerate(shingler.sets([t or "" for t in texts[a:b]], min_words)):
                     if s is None:
                         continue
                     at.append(a + i)
-                    name = int(mix(s + M1).sum(dtype=np.uint64).view(np.int64))
-                    cls.append(name)
+                    names.append(names_of(s))
                     size.append(len(s))
-                    new = name not in seen
-                    seen.add(name)
+                    new = names[-1] not in seen
+                    if len(seen) < CACHE_WORDS:  # beyond that, a set may be sketched again
+                        seen.add(names[-1])
                     if new:
                         signature = circulant.signature(s)
                         sketch.append((signature[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes())
@@ -134,10 +143,19 @@ def sketches(docs: DataFrame, words: int, rows: int, min_words: int) -> DataFram
                     else:
                         sketch.append(None)
                         keys.append(None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "cls", "shingles", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array([n for n, _ in names], pa.int64()), pa.array([c for _, c in names], pa.int64()), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "name", "check", "shingles", "sketch", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, cls bigint, shingles int, sketch binary, keys array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, name bigint, check bigint, shingles int, sketch binary, keys array<bigint>")
+
+
+def classed(sketched: DataFrame) -> DataFrame:
+    """With `cls`: the name, or, where sets with different checks share a name, a name of both. So classes are told
+    apart by 128 bits, while one word of 64 bits is shuffled."""
+    shared = sketched.groupBy("name").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x < y").select("name", F.lit(True).alias("again"))
+    if shared.isEmpty():
+        return sketched.withColumn("cls", F.col("name"))
+    return left_join_unique(sketched, shared, "name").withColumn("cls", F.when(F.col("again"), F.xxhash64("name", "check")).otherwise(F.col("name"))).drop("again")
 
 
 def least_agreement(similarity: float) -> int:
@@ -171,7 +189,10 @@ def candidate_pairs(spark: SparkSession, sketched: DataFrame, similarity: float)
     """(a, b), a < b: classes that share a band and whose sketches agree as those of a similar pair do."""
     least = least_agreement(similarity)
     # one shuffle by key serves the counts and the join back
-    entries = sketched.where("keys is not null").select("cls", F.explode("keys").alias("key")).repartition("key").dropDuplicates(["key", "cls"])
+    flat = sketched.where("keys is not null").select("cls", F.explode("keys").alias("key"))
+    n = sketched.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    many = n > ENTRIES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = (flat.repartition(-(-n // ENTRIES), "key") if many else flat.repartition("key")).dropDuplicates(["key", "cls"])
     counts = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(spark, entries.join(counts.hint("shuffle_hash"), "key"), "buckets")
     few = shared.where(F.col("n") <= BUCKET)
@@ -198,21 +219,28 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b): every pair of documents, copies included. As long as what it states; see classes."""
-        copies = self.members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-        linked = self.links.select(F.col("a").alias("cls")).unionByName(self.links.select(F.col("b").alias("cls"))).distinct()
-        m = self.members.join(linked.unionByName(copies).distinct(), "cls", "left_semi")
-        one, two = m.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), m.select(F.col("cls").alias("b"), F.col("doc_id").alias("y"))
-        across = self.links.select("a", "b").join(one, "a").join(two, "b").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
-        same = m.join(copies, "cls", "left_semi")
-        within = same.select("cls", F.col("doc_id").alias("doc_id_a")).join(same.select("cls", F.col("doc_id").alias("doc_id_b")), "cls").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+        linked = self.links.select(F.explode(F.array("a", "b")).alias("cls")).distinct().withColumn("linked", F.lit(True))
+        per = self.members.groupBy("cls").agg(F.count("*").alias("n")).join(linked, "cls", "left").where("linked or n > 1")
+        per = written(self.spark, per.select("cls", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "sizes")
+        m = left_join_unique(self.members, per, "cls").where("n is not null").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        # members meet in blocks of bounded size, each pair of blocks on its own, so that no class is one task
+        blocks = per.select("cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        one, two = (m.select(F.col("cls").alias(c), F.col("block").alias(f"block_{c}"), F.col("doc_id").alias(d)) for c, d in (("a", "x"), ("b", "y")))
+        met = self.links.select("a", "b")
+        for c in ("a", "b"):
+            met = met.join(blocks.select(F.col("cls").alias(c), F.col("block").alias(f"block_{c}")), c)
+        across = met.join(one, ["a", "block_a"]).join(two, ["b", "block_b"]).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+        same = m.where("n > 1")
+        left = same.select("cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc_id").alias("doc_id_a"))
+        within = left.join(same.select("cls", "block", F.col("doc_id").alias("doc_id_b")), ["cls", "block"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
         return across.where("doc_id_a < doc_id_b").unionByName(within)
 
     def classes(self) -> DataFrame:
         """(doc_id, class_id, copies, links): one row per document; class_id is the least doc_id with the same shingles."""
         per = self.members.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
         ends = self.links.select(F.col("a").alias("cls")).unionByName(self.links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
-        facts = per.join(ends, "cls", "left")
-        return self.members.join(facts, "cls").select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+        facts = written(self.spark, per.join(ends, "cls", "left"), "facts")
+        return left_join_unique(self.members, facts, "cls").select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
     def groups(self) -> DataFrame:
         """(doc_id, group_id): connected documents share the least doc_id of the group. Least labels spread over the links
@@ -236,7 +264,7 @@ class NearDuplicates:
             if not changed:
                 break
         final = label.join(moving.df.select("cls", F.col("label").alias("better")), "cls", "left").select("cls", F.coalesce("better", "label").alias("group_id"))
-        return self.members.join(final, "cls").select("doc_id", "group_id")
+        return left_join_unique(self.members, written(spark, final, "groups"), "cls").select("doc_id", "group_id")
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> NearDuplicates:
@@ -245,7 +273,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, id_col: str = "do
     Words are runs of letters and digits of the lower-cased whole text. Candidates share a band of their circulant
     MinHash signatures; sketches of 128 bytes drop those that met by chance; the rest are verified on their whole sets
     of 64-bit shingle hashes. A link at the threshold itself is missed with a chance of about one in a thousand, and
-    the chance falls steeply above it. No bucket is capped: large ones are compared in tiles.
+    the chance falls steeply above it. No bucket is capped: large ones are compared in tiles. Texts of more shingles than
+    PLACES holds look more alike in the signature than they are, which costs candidates, not links.
 
     Null texts and those with fewer than `min_words` words take no part. Rows that repeat a text are members of one
     class; a repeated doc_id counts as its rows do. An empty table gives no rows. Other columns are not read.
@@ -253,28 +282,33 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, id_col: str = "do
     ship(spark)
     docs = documents.select(documents[id_col].alias("doc_id"), documents[text_col].alias("text")).where("text is not null")
     docs = spread(docs, "doc_id")
-    sketched = written(spark, sketches(docs, words, rows_per_band(similarity), min_words), "sketches")
-    members = sketched.select("doc_id", "cls")
-    candidates = written(spark, candidate_pairs(spark, sketched, similarity), "candidates")
-    wanted = candidates.select(F.col("a").alias("cls")).unionByName(candidates.select(F.col("b").alias("cls"))).distinct()
-    chosen = members.join(maybe_broadcast(wanted), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    chosen = written(spark, chosen, "chosen")
-    texts = docs.join(maybe_broadcast(chosen), "doc_id").select("cls", "text")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for batch in batches:
-            all_texts = batch.column(1).to_pylist()
-            for a, b in _groups(all_texts):
-                found = [s.view(np.int64) for s in shingler.sets(all_texts[a:b], min_words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.int64()))], names=["cls", "found"])
-
-    sets = written(spark, texts.mapInArrow(to_sets, "cls bigint, found array<bigint>").dropDuplicates(["cls"]), "sets")
-    common = F.size(F.array_intersect("x", "y"))
-    links = (
-        candidates.join(sets.select(F.col("cls").alias("a"), F.col("found").alias("x")), "a")
-        .join(sets.select(F.col("cls").alias("b"), F.col("found").alias("y")), "b")
-        .select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard"))
-        .where(F.col("jaccard") >= similarity)
-    )
-    return NearDuplicates(spark, members, written(spark, links, "links"))
+    with Scope(spark) as scope:
+        sketched = scope.written(sketches(docs, words, rows_per_band(similarity), min_words), "sketches", keep=True)
+        sketched = classed(sketched)
+        members = sketched.select("doc_id", "cls")
+        candidates = scope.written(candidate_pairs(spark, sketched, similarity), "candidates")
+        wanted = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        one = sketched.groupBy("cls").agg(F.min(F.struct("doc_id", "name", "check")).alias("x"))
+        chosen = scope.written(one.join(maybe_broadcast(wanted), "cls", "left_semi").select("cls", "x.doc_id", "x.name", "x.check"), "chosen")
+        texts = docs.join(maybe_broadcast(chosen), docs["doc_id"].eqNullSafe(chosen["doc_id"])).select("cls", "name", "check", "text")
+
+        def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler = Shingler(words)
+            for batch in batches:
+                all_texts = batch.column(3).to_pylist()
+                for a, b in _groups(all_texts):
+                    found = list(shingler.sets(all_texts[a:b], min_words))
+                    part = batch.slice(a, b - a)
+                    # rows that share the chosen row's id may hold other texts
+                    keep = [i for i, (s, *name) in enumerate(zip(found, part.column(1).to_pylist(), part.column(2).to_pylist())) if s is not None and names_of(s) == tuple(name)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int32())), pa.array([found[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["cls", "found"])
+
+        sets = scope.written(texts.mapInArrow(to_sets, "cls bigint, found array<bigint>").dropDuplicates(["cls"]), "sets")
+        common = F.size(F.array_intersect("x", "y"))
+        links = (
+            candidates.join(sets.select(F.col("cls").alias("a"), F.col("found").alias("x")), "a")
+            .join(sets.select(F.col("cls").alias("b"), F.col("found").alias("y")), "b")
+            .select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard"))
+            .where(F.col("jaccard") >= similarity)
+        )
+        return NearDuplicates(spark, members, scope.written(links, "links", keep=True))

@@ -102,3 +102,32 @@ def test_signature_estimates_similarity():
 def test_very_long_text():
     s = next(nd.Shingler(3).sets(["many words here again " * 100_000 + " ".join(VOCABULARY)], 20))
     assert len(nd.Circulant().signature(s)) == nd.COORDINATES
+
+
+def test_sets_that_share_a_name_are_told_apart(spark, monkeypatch):
+    """All sets get the same first name: only the second tells them apart."""
+    real = nd.names_of
+    monkeypatch.setattr(nd, "names_of", lambda s: (7, real(s)[1]))
+    rows = corpus(3) + [(800, corpus(3)[0][1])]
+    df = table(spark, rows)
+    docs = df.select("doc_id", "text")
+    sketched = nd.classed(nd.sketches(docs, 3, nd.rows_per_band(0.5), 20))
+    assert sketched.select("cls").distinct().count() == len({frozenset(zip(w, w[1:], w[2:])) for _, t in rows for w in [words_of(t)]})
+
+
+def test_repeated_ids_with_other_texts_and_null_ids(spark):
+    rows = corpus(4)
+    a, b = rows[0][1], rows[1][1]
+    changed = a.replace(a.split()[10], "zz", 1)
+    df = table(spark, [(1, a), (1, b), (2, changed), (2, b), (None, a), (3, None), (4, "")])
+    got = {(r.doc_id_a, r.doc_id_b) for r in nd.near_duplicates(spark, df, words=3, similarity=0.5).pairs().collect()}
+    assert (1, 2) in got
+
+
+def test_blocks_of_a_hot_class_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    text = corpus(1)[0][1]
+    near = text.replace(text.split()[5], "changed", 1)
+    rows = [(i, text) for i in range(15)] + [(100 + i, near) for i in range(9)]
+    got = [(r.doc_id_a, r.doc_id_b) for r in nd.near_duplicates(spark, table(spark, rows), words=3, similarity=0.5).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 0.5)
