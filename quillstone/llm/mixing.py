@@ -11,24 +11,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.bpe import DEFAULT_VOCABULARY, Encoder, Vocabulary, slices
+from quillstone.llm.quality import STATISTICS, scored, statistics
 from quillstone.runtime import maybe_broadcast, ship, spread, written
 
 SEED = 20
 #: Ranges of the exponential key by which a source is sorted in parts; more of them only make the parts smaller.
 PARTS = 4096
-#: The least and the most quality weight of a text.
+#: The least quality weight of a text; the most is 1.
 LEAST_QUALITY = 0.05
 
 
-def quality_weight(text: str, tokens: int) -> float:
-    """A cheap quality weight in [LEAST_QUALITY, 1]: prose takes about 4.2 characters a token and is mostly letters and
-    spaces; tables, blobs and damaged texts take fewer, or more signs. The statistics of text_types may be used instead."""
-    letters = sum(map(text.count, " aeiourtnslAEIOURTNSL")) / len(text)
-    return max(LEAST_QUALITY, min(1.0, (len(text) / tokens) / 4.2) ** 2 * min(1.0, letters / 0.6))
-
-
 def sizes(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens, quality) of every document with at least one token. A narrow pass over the texts."""
+    """(doc_id, source, tokens, STATISTICS...) of every document with at least one token. One narrow pass over the texts."""
     ship(spark)
     shared = spark.sparkContext.broadcast(Vocabulary(vocabulary))
 
@@ -38,12 +32,19 @@ def sizes(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", sou
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts):
                 n = encoder.sizes(texts[a:b])
-                q = [quality_weight(t, max(1, k)) for t, k in zip(texts[a:b], n.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(q, pa.float64())], names=["doc_id", "source", "tokens", "quality"])
+                stats = zip(*map(statistics, texts[a:b]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), *(pa.array(c, pa.float64()) for c in stats)], names=["doc_id", "source", "tokens", *STATISTICS])
 
     kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(documents[id_col].alias("doc_id"), documents[source_col].alias("source"), documents[text_col].alias("text")).where(F.length("text") > 0)
-    return spread(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, source string, tokens bigint, quality double")
+    return spread(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, source string, tokens bigint, " + ", ".join(f"{c} double" for c in STATISTICS))
+
+
+def with_quality(spark: SparkSession, measured: DataFrame) -> DataFrame:
+    """(doc_id, source, tokens, quality) of a stored table of sizes(): the posterior of being prose that the labelling
+    functions of text types give (see quality.scored), over the texts as they are, and at least LEAST_QUALITY."""
+    typed, _ = scored(spark, measured)
+    return typed.select("doc_id", "source", "tokens", F.greatest(F.lit(LEAST_QUALITY), 1 - F.coalesce("other", F.lit(1.0))).alias("quality"))
 
 
 def allot(targets: pd.DataFrame) -> pd.DataFrame:
@@ -74,8 +75,8 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, id_col: s
 
     `targets`: mix_name, size_factor, source, weight, max_repeats (null: once). A mix's size is size_factor times the
     tokens of all documents. A source's budget is first filled with complete epochs, each using all its documents; the
-    rest is an Efraimidis-Spirakis sample: documents in the order of exponential keys over quality weights, up to the
-    budget; the document at the edge is taken if that comes nearer to it. Budgets that sources can't fill go to the
+    rest is an Efraimidis-Spirakis sample: documents in the order of exponential keys over quality weights (the posterior
+    of being prose, in any script), up to the budget; the document at the edge is taken if that comes nearer to it. Budgets that sources can't fill go to the
     others by weight, so that the mix keeps its size where there is enough; the report shows target and reached shares.
 
     Keys depend on the mix, doc_id and seed only, so a lost executor's work is repeated alike. A source is sorted in
@@ -84,7 +85,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, id_col: s
     keeps its largest weight and repeats. Weights that are null or not positive give a budget of 0, as do sources with
     no documents. Repeated doc_ids of a source are chosen together or as their keys tie, by size. Empty tables: no rows.
     """
-    docs = written(spark, sizes(spark, documents, id_col, source_col, text_col, vocabulary), "sizes")
+    docs = with_quality(spark, written(spark, sizes(spark, documents, id_col, source_col, text_col, vocabulary), "sizes"))
     total = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
     per = docs.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     plan = targets.groupBy("mix_name", "source").agg(F.max("weight").alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("bigint").alias("repeats"), F.max("size_factor").alias("size_factor"))

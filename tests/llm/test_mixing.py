@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from quillstone.llm import bpe, mixing
+from quillstone.runtime import written
 
 if not Path(bpe.DEFAULT_VOCABULARY).exists():
     pytest.skip("no vocabulary file", allow_module_level=True)
@@ -62,5 +63,18 @@ def test_allotment_fills_by_weight():
     assert mixing.allot(t)["budget"].tolist() == [20, 1000, 1000]
 
 
+PROSE = "The court held that the appeal was dismissed, because the tenant had not paid the rent to the landlord.\n"
+RUSSIAN = "Суд постановил, что апелляция отклонена, так как арендатор не платил по договору.\n"
+
+
 def test_quality_orders_the_sample(spark):
-    assert mixing.quality_weight("The court held that the appeal was dismissed with costs.", 12) > 3 * mixing.quality_weight("7;9;1,4|#@!~{}", 14)
+    rows = [(i, "s", PROSE * (2 + i % 4)) for i in range(30)] + [(100, "s", RUSSIAN * 4), (101, "s", " \n ")]
+    rows += [(200 + i, "s", "\n".join(f"{k * 7}.{i} | {k}/2/2003 | ${k * 99},1 | N" for k in range(30))) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    measured = written(spark, mixing.sizes(spark, df), "sizes")
+    quality = {r.doc_id: r.quality for r in mixing.with_quality(spark, measured).collect()}
+    assert min(quality[i] for i in range(30)) > 0.9 and quality[100] > 0.9
+    assert quality[101] == max(quality[200 + i] for i in range(8)) == mixing.LEAST_QUALITY
+    t = targets(spark, [("m", 0.3, "s", 1.0, 1)])
+    chosen = {r.doc_id for r in mixing.mix(spark, df, t)[0].collect()}
+    assert len(chosen & {200 + i for i in range(8)}) <= 2
