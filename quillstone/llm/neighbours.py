@@ -24,8 +24,10 @@ CELL, MOST_CELLS = 160, 4096
 PARTS, CODES = 16, 256
 #: Index rows and queries that meet in one task's group.
 SHARD, ASKING = 4000, 8000
-#: Candidates of a query whose cosines are computed.
-RERANK = 256
+#: Rows of about 100 bytes in a partition of the search.
+PARTITION = 150_000
+#: Candidates of a query whose cosines are computed; half as many may come from each of its NEAREST cells' groups.
+RERANK, NEAREST = 256, 8
 SEED = 11
 
 
@@ -62,7 +64,8 @@ def euclidean_kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generato
 @dataclass
 class Index:
     """Coarse centroids (unit length), fine centroids of what they leave (one of zeros where one level is enough), the
-    codebooks of residuals (parts, codes, width), and by how much codes underrate a vector's cosine with itself at most.
+    codebooks of residuals (parts, codes, width), and by how much codes underrate a vector's cosine with itself, but for
+    one in a thousand.
     A cell is a pair of a coarse and a fine centroid."""
 
     coarse: np.ndarray
@@ -149,7 +152,7 @@ def fit(vectors: DataFrame, dim: int, rows: int, probes: int | None, reach: floa
     index.books = np.stack([euclidean_kmeans(np.ascontiguousarray(rest[:, m]), CODES, 8, rng) for m in range(PARTS)])
     codes = index.encode(x, home)
     back = np.stack([index.books[m][codes[:, m]] for m in range(PARTS)], 1).reshape(len(x), dim) + index.centroids(home)
-    index.deficit = float(np.maximum(0, 1 - (x * back).sum(1)).max(initial=0))
+    index.deficit = float(np.quantile(np.maximum(0, 1 - (x * back).sum(1)), 0.999))
     return index, share, visits / len(x)
 
 
@@ -171,7 +174,8 @@ def unpacked(data: list[bytes], dim: int) -> np.ndarray:
 
 def _place(reps: DataFrame, index: Broadcast, shards: np.ndarray, blocks: np.ndarray, probes: int, reach: float, dim: int) -> DataFrame:
     """Codes in the cells of their vectors, and queries in the cells that they visit. A cell is cut into shards of codes
-    and blocks of queries, by hash; each shard meets each block in a group of its own. asks: whether a row is a query."""
+    and blocks of queries, by hash; each shard meets each block in a group of its own. asks: 0 for a code, 1 for a query
+    in one of its NEAREST cells, 2 for one in another."""
     sizes = reps.sparkSession.sparkContext.broadcast((shards, blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,43 +199,46 @@ def _place(reps: DataFrame, index: Broadcast, shards: np.ndarray, blocks: np.nda
                 asked = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
                 q, p = np.nonzero(within & asked[:, None])
                 qat, qcell, qblock, qshard = copies(q, near[q, p], mix[q] % blocks[near[q, p]], shards)
+                far = np.repeat(np.where(p < NEAREST, 1, 2), shards[near[q, p]])
                 small = packed(unit)
                 data = [codes[i] for i in at.tolist()] + [small[i] for i in qat.tolist()]
                 both = lambda x, y, kind: pa.array(np.concatenate([x, y]).astype(kind))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(both(at, qat, np.int32)), both(cell, qcell, np.int32), both(shard, qshard, np.int32), both(block, qblock, np.int32), both(np.zeros(len(at)), np.ones(len(qat)), bool), pa.array(data, pa.binary())],
+                    [part.column(0).take(both(at, qat, np.int32)), both(cell, qcell, np.int32), both(shard, qshard, np.int32), both(block, qblock, np.int32), both(np.zeros(len(at)), far, np.int8), pa.array(data, pa.binary())],
                     names=["id", "cell", "shard", "block", "asks", "data"],
                 )
 
     kind = reps.schema["id"].dataType.simpleString()
-    return reps.select("id", "vector", "asked", "mix").mapInArrow(run, f"id {kind}, cell int, shard int, block int, asks boolean, data binary")
+    return reps.select("id", "vector", "asked", "mix").mapInArrow(run, f"id {kind}, cell int, shard int, block int, asks tinyint, data binary")
 
 
-def _guess(placed: DataFrame, index: Broadcast, each: int | None, floor: float, dim: int) -> DataFrame:
-    """(id, neighbour, guess): of each query in each group the best by its distance tables, at most `each`, from `floor`."""
+def _guess(placed: DataFrame, index: Broadcast, each: tuple[int, int] | None, floor: float, dim: int) -> DataFrame:
+    """(id, neighbour, guess): of each query in each group the best by its distance tables, from `floor`; at most `each`
+    in its NEAREST cells and in others, None: all."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         asks, cell, ids, data = t.column("asks").to_numpy(), t.column("cell")[0].as_py(), t.column("id"), t.column("data")
-        inside, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
-        left, right, score = [], [], []
-        if len(inside) and len(asking):
+        inside = np.flatnonzero(asks == 0)
+        left, right, score = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        if len(inside) and len(inside) < len(asks):
             codes = np.frombuffer(b"".join(data.take(pa.array(inside)).to_pylist()), np.uint8).reshape(len(inside), -1)
-            keep = len(inside) if each is None else min(each + 1, len(inside))
-            for a in range(0, len(asking), 512):
-                q = asking[a : a + 512]
-                guess = index.value.estimate(unpacked(data.take(pa.array(q)).to_pylist(), dim), cell, codes)
-                if keep < len(inside):
-                    best = np.argpartition(-guess, keep - 1, axis=1)[:, :keep]
-                    r, c = np.nonzero(np.take_along_axis(guess, best, 1) >= floor)
-                    c = best[r, c]
-                else:
-                    r, c = np.nonzero(guess >= floor)
-                left.append(q[r])
-                right.append(inside[c])
-                score.append(guess[r, c])
-        none = np.empty(0, np.int64)
-        left, right, score = (np.concatenate(x) if x else none for x in (left, right, score))
+            for kind in (1, 2):
+                asking = np.flatnonzero(asks == kind)
+                keep = len(inside) if each is None else min(each[kind - 1] + 1, len(inside))
+                for a in range(0, len(asking), 512):
+                    q = asking[a : a + 512]
+                    guess = index.value.estimate(unpacked(data.take(pa.array(q)).to_pylist(), dim), cell, codes)
+                    if keep < len(inside):
+                        best = np.argpartition(-guess, keep - 1, axis=1)[:, :keep]
+                        r, c = np.nonzero(np.take_along_axis(guess, best, 1) >= floor)
+                        c = best[r, c]
+                    else:
+                        r, c = np.nonzero(guess >= floor)
+                    left.append(q[r])
+                    right.append(inside[c])
+                    score.append(guess[r, c])
+        left, right, score = map(np.concatenate, (left, right, score))
         out = pa.table({"id": ids.take(pa.array(left)), "neighbour": ids.take(pa.array(right)), "guess": pa.array(score, pa.float32())})
         return out.filter(pa.compute.not_equal(out["id"], out["neighbour"]))
 
@@ -243,7 +250,8 @@ def _exact(pairs: DataFrame, reps: DataFrame, dim: int) -> DataFrame:
     """(id, neighbour, cosine) of stored pairs. A vector that is a candidate of very many is no hot task."""
     v = reps.select("id", "vector")
     asked = v.join(maybe_broadcast(pairs.select("id").distinct()), "id", "left_semi")
-    both = left_join_unique(pairs, v.select(F.col("id").alias("neighbour"), F.col("vector").alias("y")), "neighbour", rows=0)
+    other = v.withColumnRenamed("id", "neighbour").join(maybe_broadcast(pairs.select("neighbour").distinct()), "neighbour", "left_semi")
+    both = left_join_unique(pairs, other.withColumnRenamed("vector", "y"), "neighbour", rows=0)
     both = both.join(maybe_broadcast(asked.withColumnRenamed("vector", "x")), "id").select("id", "neighbour", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +296,10 @@ def most_similar(spark: SparkSession, table: DataFrame, k: int = 10, queries: Co
         copied = groups.where("n > 1").select("h", "h2", "rep", "any")
         joined = left_join_unique(rows, copied, ["h", "h2"])
         mix = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int").alias("mix")
-        reps = scope.written(joined.where("rep is null or rep = id").select("id", "vector", F.coalesce("any", "asked").alias("asked"), mix), "vectors")
-        members = scope.written(joined.where("rep is not null").select("rep", "id", "asked"), "members", keep=True)
+        shown = F.when(F.col("rep").isNull() | (F.col("rep") == F.col("id")), F.col("vector")).alias("vector")  # once a class
+        stored = scope.written(joined.select("id", "rep", "asked", F.coalesce("any", "asked").alias("any"), mix, shown), "vectors", keep=True)
+        reps = stored.where("vector is not null").select("id", "vector", F.col("any").alias("asked"), "mix")
+        members = stored.where("rep is not null").select("rep", "id", "asked")
         index, share, visits = fit(reps, dim, total, probes, reach)  # classes, not rows: copies would crowd the sample
         probes = len(index) if exact else probes or default_probes(len(index))
         if exact:
@@ -297,10 +307,14 @@ def most_similar(spark: SparkSession, table: DataFrame, k: int = 10, queries: Co
         shards = np.maximum(1, np.ceil(share * total / SHARD)).astype(np.int64)
         blocks = np.maximum(1, np.ceil(visits * asking / ASKING)).astype(np.int64)
         shared = spark.sparkContext.broadcast(index)
-        each = None if exact else max(2 * k, -(-2 * rerank // probes))
+        each = None if exact else (max(2 * k, rerank // 2), max(2 * k, -(-2 * rerank // probes)))
         floor = -9.0 if exact else least - 0.01 - 1.2 * index.deficit
-        guesses = _guess(_place(reps, shared, shards, blocks, probes, reach, dim), shared, each, floor, dim)
-        if not exact and probes * each > rerank:
+        placed = _place(reps, shared, shards, blocks, probes, reach, dim)
+        # partitions follow the data: codes in each block of their cell, queries in each shard of the cells they visit
+        n = int(total * (share * blocks).sum() + asking * (visits * shards).sum())
+        placed = placed.repartition(max(spark.sparkContext.defaultParallelism, n // PARTITION), "cell", "shard", "block")
+        guesses = _guess(placed, shared, each, floor, dim)
+        if not exact:
             guesses = guesses.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("guess"), "neighbour"))).where(F.col("r") <= rerank)
         pairs = guesses.select("id", "neighbour")
         if queries is None:
@@ -328,7 +342,7 @@ def most_similar(spark: SparkSession, table: DataFrame, k: int = 10, queries: Co
 PAIR_PROBES, PAIR_REACH = 8, 0.05
 
 
-def similar_pairs(spark: SparkSession, table: DataFrame, least: float = 0.9, k: int = 10, probes: int = PAIR_PROBES, reach: float = PAIR_REACH, rerank: int = 64, exact: bool = False, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
+def similar_pairs(spark: SparkSession, table: DataFrame, least: float = 0.9, k: int = 10, probes: int = PAIR_PROBES, reach: float = PAIR_REACH, rerank: int = 128, exact: bool = False, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of a cosine of at least `least` of which one is among the k most similar of the
     other. Such near vectors lie in the same or neighbouring cells, so that a reach finds all but a trace of them."""
     lists = most_similar(spark, table, k, None, probes, least, rerank, reach, exact, id_col, vector_col, dim)
