@@ -72,7 +72,11 @@ def p8_types(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(spark, table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_neighbours, p5_found, p5_classes, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_types)}
+def p8_accuracies(spark: SparkSession, d: str) -> DataFrame:
+    return quality.typed(spark, table(spark, d, "documents"))[1]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_neighbours, p5_found, p5_classes, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_types, p8_accuracies)}
 
 #: p1: RE2 classes, as the operator's Python has them; lines are numbered from 0.
 _P1_LINES = r"""
@@ -105,6 +109,29 @@ with cut as (select doc_id, regexp_replace(regexp_replace(text, '([.!?])[\s\x{0b
   '[\n\r\x{0b}\x{0c}\x{85}\x{2028}\x{2029}]', chr(1), 'g') as t from documents where length(text) > 4000)
 select doc_id, case when list_max(list_transform(string_split(t, chr(1)), lambda x: length(x))) > 3800 then 'forced' else 'natural' end as cut from cut
 """
+#: p2: characters one by one; each boundary with its end and strength; then cut after cut by recursion.
+_P2_PIECES = r"""
+with recursive docs as (select doc_id, text, length(text) as n, string_split(text, '') as chars from documents where length(text) > 4000),
+listed as (select doc_id, n, unnest(chars) as c, generate_subscripts(chars, 1) as i from docs),
+around as (select *, lag(c) over w as p, lead(c) over w as q, lead(c, 2) over w as r from listed window w as (partition by doc_id order by i)),
+kinds as (select *, {b} as is_break, c = chr(13) and coalesce(q, '') = chr(10) as two, {pb} as after_break, coalesce(p, '') in ('.', '!', '?') as after_stop from around),
+cuts as (select doc_id, i + cast(two as integer) as pos, case when not is_break then 1 when p is null or after_break or coalesce(case when two then {rb} else {qb} end, false) then 3 when after_stop then 2 else 1.5 end as strength
+  from kinds where (is_break and not (c = chr(10) and coalesce(p, '') = chr(13))) or (not is_break and after_stop and regexp_matches(c, '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]'))),
+steps as (
+  select doc_id, n, -1 as k, 0 as cut, 0 as e from docs
+  union all
+  select doc_id, n, k + 1, e, case when n - e <= 3800 then n else coalesce(
+    (select arg_max(c.pos, c.strength * 1e9 + c.pos) from cuts c where c.doc_id = s.doc_id and c.pos between s.e + 1900 and s.e + 3800),
+    (select arg_max(c.pos, c.strength * 1e9 + c.pos) from cuts c where c.doc_id = s.doc_id and c.pos between s.e + 1 and s.e + 3800), e + 3800) end
+  from steps s where k = -1 or e < n
+)
+select doc_id, cast(k as integer) as chunk_index, cast(greatest(0, cut - 200) as bigint) as start_char, cast(e as bigint) as end_char,
+  case when e < n and not exists (select 1 from cuts c where c.doc_id = s.doc_id and c.pos = s.e) then 'forced' else 'natural' end as cut,
+  substr(text, greatest(0, cut - 200) + 1, e - greatest(0, cut - 200)) as text
+from steps s join docs using (doc_id) where k >= 0
+"""
+_BREAK = "({x} in (chr(10), chr(11), chr(12), chr(13), chr(133), chr(8232), chr(8233)))"
+_P2_PIECES = _P2_PIECES.format(b=_BREAK.format(x="c"), pb=_BREAK.format(x="coalesce(p, '')"), qb=_BREAK.format(x="q"), rb=_BREAK.format(x="r"))
 _P1_CLEAN = r"""
 , every as (select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null),
 marked as (select e.doc_id, e.line, e.line_no, exists (select 1 from named n join found f using (source, key) where n.doc_id = e.doc_id and n.line_no = e.line_no) as gone from every e)
@@ -126,6 +153,7 @@ select a as doc_id, min(b) as group_id from reach group by a
 ORACLES: dict[str, str] = {
     "p1_clean": _P1_LINES + _P1_CLEAN,
     "p2_found": _P2_FOUND,
+    "p2_pieces": _P2_PIECES,
     "p5_classes": _P5_LINKS + _P5_CLASSES,
     "p5_groups": _P5_LINKS.replace("with words", "with recursive words") + _P5_GROUPS,
     "p3_found": _P3_FOUND,
