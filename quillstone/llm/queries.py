@@ -126,7 +126,7 @@ steps as (
   from steps s where k = -1 or e < n
 )
 select doc_id, cast(k as integer) as chunk_index, cast(greatest(0, cut - 200) as bigint) as start_char, cast(e as bigint) as end_char,
-  case when e < n and not exists (select 1 from cuts c where c.doc_id = s.doc_id and c.pos = s.e) then 'forced' else 'natural' end as cut,
+  case when e < s.n and not exists (select 1 from cuts c where c.doc_id = s.doc_id and c.pos = s.e) then 'forced' else 'natural' end as cut,
   substr(text, greatest(0, cut - 200) + 1, e - greatest(0, cut - 200)) as text
 from steps s join docs using (doc_id) where k >= 0
 """
