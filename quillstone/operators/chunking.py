@@ -5,8 +5,9 @@ These keep the meaning of a chunk together; the splitter by boundary strength fo
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,17 @@ from pyspark.sql import functions as F
 from quillstone.runtime import ship, spread
 from quillstone.sources.front_matter import sections
 
+#: Token targets of a chunk, patterns of tokens, sentences and heading lines, and the keys of a document
+#: that the header of a section never changes.
 TARGET, OVERLAP, MOST, LEAST_SENTENCE, LEAST_CHUNK = 512, 64, 640, 6, 40
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z(])")
-HEADING = re.compile(r"^\s*(?:[IVXLC]+\.|\d+\.|Section\s+\d+|Part\s+[IVXLC\d]+)\s+\S.{0,80}$|^[A-Z][A-Z \-]{5,80}$")
+HEADING = re.compile(r"^\s*(?:[IVXLCDM]+\.?|\d+(?:\.\d+)*\.?|[A-Z][A-Z0-9 ]{2,}|Section\s+\d+[A-Za-z\-]*|s\.\s*\d+[A-Za-z\-]*)\b")
+PROTECTED = frozenset("title year date type jurisdiction subjurisdiction database url ext filename rel_path rel_path_no_years path_parts path_parts_no_years dataset_root court_guess jurisdiction_guess series_guess".split())
+#: Characters of the windows that the cascade ends in, and their overlap.
+WINDOW, WINDOW_OVERLAP = 4000, 200
+#: Legacy chunks: the most characters, and the least of a piece of a statute, article or case, and of other texts.
+LEGACY_MOST, LEGACY_LEAST, OTHER_LEAST = 1500, 150, 50
 
 
 def tokens(text: str) -> int:
@@ -113,10 +121,21 @@ def semantic(text: str, **sizes) -> list[tuple[str, str]]:
 
 def legislation(text: str, **sizes) -> list[tuple[str, str]]:
     """(section title, text) by dashed headers; nothing where a text has none."""
+    return [(title, c) for title, c, _ in with_headers(text, **sizes)]
+
+
+def with_headers(text: str, **sizes) -> list[tuple[str, str, dict]]:
+    """(section title, text, fields) by dashed headers; fields are those of the header that a document doesn't keep for
+    itself (PROTECTED)."""
     found = sections(text)
     if not any(h for h, _ in found):
         return []
-    return [(str(h.get("title") or h.get("section") or ""), c) for h, b in found if b for c in (merged_sentences(b, **sizes) or [b])]
+    out = []
+    for header, body in found:
+        title = next((str(header[k]) for k in ("title", "section_title", "section") if header.get(k) not in (None, "")), "")
+        fields = {k: v for k, v in header.items() if k not in PROTECTED}
+        out += [(title, c, fields) for c in (merged_sentences(body, **sizes) or [body]) if body]
+    return out
 
 
 def recursive(text: str, most: int = 2000, overlap: int = 100, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
@@ -144,56 +163,155 @@ def recursive(text: str, most: int = 2000, overlap: int = 100, separators: tuple
     return [*out, now] if now.strip() else out
 
 
-def paragraphs(text: str, most: int = 1500, least: int = 50) -> list[str]:
-    """Paragraphs packed to `most` characters; longer ones cut; pieces under `least` dropped unless nothing else is left."""
-    out, now = [], ""
-    for p in (p.strip() for p in re.split(r"\n\s*\n", text)):
-        if not p:
+def packed(parts: Iterable[str], most: int, glue: str) -> list[str]:
+    """Neighbours joined by `glue` while they stay within `most` characters; longer parts stay as they are, alone."""
+    out: list[str] = []
+    for p in parts:
+        if out and len(out[-1]) + len(glue) + len(p) <= most:
+            out[-1] += glue + p
+        else:
+            out.append(p)
+    return out
+
+
+def paragraphs(text: str, most: int = LEGACY_MOST, least: int = OTHER_LEAST) -> list[str]:
+    """Paragraphs packed to `most` characters; longer ones packed from their sentences, and those cut where they are
+    longer still; pieces under `least` dropped unless nothing else is left."""
+    out = []
+    for block in packed((p.strip() for p in re.split(r"(?:\r?\n){2,}", text) if p.strip()), most, "\n\n"):
+        if len(block) <= most:
+            out.append(block)
             continue
-        if now and len(now) + 2 + len(p) > most:
-            out.append(now)
-            now = ""
-        now = f"{now}\n\n{p}" if now else p
-        while len(now) > most:
-            out.append(now[:most])
-            now = now[most:]
-    if now:
-        out.append(now)
+        run: list[str] = []
+        for sentence in re.split(r"(?<=[.?!]) +", block):
+            if len(sentence) <= most:
+                run.append(sentence)
+            else:
+                out += packed(run, most, " ") + [sentence[i : i + most].strip() for i in range(0, len(sentence), most)]
+                run = []
+        out += packed(run, most, " ")
     return [c for c in out if len(c) >= least] or out[:1]
 
 
-def cascade(text: str) -> tuple[str, list[tuple[str, str]]]:
-    """(strategy, chunks): dashed sections, else merged sentences, else recursive pieces, else nothing."""
-    for name, run in (("dashed", legislation), ("semantic", semantic), ("recursive", lambda t: [("", c) for c in recursive(t)])):
-        if chunks := run(text):
-            return name, chunks
+#: A section of a statute and a heading of an article, as earlier loads wrote them.
+LEGACY_SECTION = re.compile(r"-{5,}\s*\n\s*section:\s*([^\n]+)\n\s*title:\s*([^\n]+)\n-{5,}\s*\n(.*?)(?=(?:-{5,}\s*\n\s*section:)|\Z)", re.S | re.I)
+LEGACY_HEADING = re.compile(r"^([IVXLCDM]+\.|[0-9]+\.|[A-Z]\.)\s+.*")
+
+
+def by_kind(kind: str, text: str, most: int = LEGACY_MOST) -> list[tuple[str, str]]:
+    """(section, text) by the kind of a document: sections of a statute, headed parts of an article, paragraphs of a case,
+    each of at least LEGACY_LEAST characters. Where that gives nothing, or an article's part is too long, paragraphs of
+    the whole text; where those are all too short, pieces of at least OTHER_LEAST."""
+    kind = kind.strip().lower()
+    long_enough = lambda t, least=LEGACY_LEAST: [p for p in paragraphs(t, most, 0) if len(p) >= least]
+    found: list[tuple[str, str]] = []
+    if kind == "legislation":
+        found = [(m[2].strip() or m[1].strip(), p) for m in LEGACY_SECTION.finditer(text) for p in long_enough(m[3].strip())]
+    elif kind == "journal":
+        parts: list[tuple[str, list[str]]] = [("", [])]
+        for line in map(str.strip, text.splitlines()):
+            if LEGACY_HEADING.match(line):
+                parts.append((line, [line + "\n"]))
+            else:
+                parts[-1][1].append(line + " ")
+        found = [(h, t) for h, ls in parts if len(t := "".join(ls).strip()) >= LEGACY_LEAST]
+        if any(len(t) > most for _, t in found):
+            found = []
+    if not found and kind in ("legislation", "journal", "case"):
+        found = [(f"para_{i}", p) for i, p in enumerate(paragraphs(text, most, 0)) if len(p) >= LEGACY_LEAST]
+    return found or [("", p) for p in long_enough(text, OTHER_LEAST)]
+
+
+def cut_windows(text: str, size: int = WINDOW, overlap: int = WINDOW_OVERLAP) -> list[tuple[str, str, dict]]:
+    """Windows of a text with their places; the last resort, which every text with a character passes."""
+    return [("", text[i : i + size], {"start_char": i, "end_char": min(len(text), i + size), "fallback": True}) for i in range(0, len(text), max(1, size - overlap))]
+
+
+Piece = tuple[str, str, dict]
+
+
+def _plain(pieces: Iterable[tuple[str, str]]) -> list[Piece]:
+    return [(h, c, {}) for h, c in pieces]
+
+
+def pieces_of(text: str, strategy: str = "cascade") -> tuple[str, list[Piece]]:
+    """(strategy, [(section, text, fields)]): `cascade` is dashed sections, else merged sentences, else recursive pieces,
+    else windows; a blank text has none."""
+    ways: dict[str, Callable[[str], list[Piece]]] = {
+        "dashed": with_headers,
+        "semantic": lambda t: _plain(semantic(t)),
+        "recursive": lambda t: _plain(("", c) for c in recursive(t)),
+        "windows": cut_windows,
+        "paragraphs": lambda t: _plain(("", c) for c in paragraphs(t)),
+    }
+    if not text.strip():
+        return "empty", []
+    for name in ("dashed", "semantic", "recursive", "windows") if strategy == "cascade" else (strategy,):
+        if found := ways[name](text):
+            return name, found
     return "empty", []
 
 
-STRATEGIES: dict[str, Callable[[str], tuple[str, list[tuple[str, str]]]]] = {
-    "cascade": cascade,
-    "semantic": lambda t: ("semantic", semantic(t)),
-    "dashed": lambda t: ("dashed", legislation(t)),
-    "recursive": lambda t: ("recursive", [("", c) for c in recursive(t)]),
-    "paragraphs": lambda t: ("paragraphs", [("", c) for c in paragraphs(t)]),
-}
+def cascade(text: str) -> tuple[str, list[tuple[str, str]]]:
+    name, found = pieces_of(text)
+    return name, [(h, c) for h, c, _ in found]
+
+
+STRATEGIES = ("cascade", "dashed", "semantic", "recursive", "windows", "paragraphs")
+
+
+def metadata_of(base: str | None, found: list[Piece], name: str) -> list[str]:
+    """The metadata of each chunk as JSON: the document's own, then what the section's header adds, then the chunk's."""
+    own = json.loads(base) if base else {}
+    own = own if isinstance(own, dict) else {"raw": own}
+    out, sections_, chunk_idx = [], -1, 0
+    last: object = None
+    for title, text, fields in found:
+        if (title, id(fields)) != last:
+            last, sections_, chunk_idx = (title, id(fields)), sections_ + 1, 0
+        mine = {"section_title": title or None, "section_idx": sections_, "chunk_idx": chunk_idx, "tokens_est": tokens(text), "strategy": name}
+        out.append(json.dumps({**own, **fields, **mine}, ensure_ascii=False, default=str))
+        chunk_idx += 1
+    return out
+
+
+def chunk_by_kind(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "content", kind_col: str = "kind") -> DataFrame:
+    """(doc_id, chunk_index, section, text): chunks by the kind of each document (see by_kind). Null and blank texts give
+    none. Narrow, in Arrow batches."""
+    ship(spark)
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(kind_col, F.lit("")).alias("kind")).where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, h, c) for i, (t, k) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) for n, (h, c) in enumerate(by_kind(k, t))]
+            at = pa.array([r[0] for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], names=["doc_id", "chunk_index", "section", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return spread(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, chunk_index int, section string, text string")
 
 
-def chunk(spark: SparkSession, documents: DataFrame, strategy: str = "cascade", id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
-    """(doc_id, chunk_index, section, text, tokens, strategy): the chunks of every text. Null and blank texts give none.
-    Narrow, in Arrow batches."""
+def chunk(spark: SparkSession, documents: DataFrame, strategy: str = "cascade", id_col: str = "doc_id", text_col: str = "content", metadata_col: str | None = None) -> DataFrame:
+    """(doc_id, chunk_index, section, text, tokens, strategy): the chunks of every text; with `metadata_col`, the JSON of
+    the document, also chunk_metadata (see metadata_of). Null and blank texts give none. Narrow, in Arrow batches."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}")
     ship(spark)
-    run_one = STRATEGIES[strategy]
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    base = F.lit(None).cast("string") if metadata_col is None else F.col(metadata_col)
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), base.alias("base")).where("text is not null")
     docs = spread(docs, "doc_id") if not docs.isStreaming else docs
+    names = ["doc_id", "chunk_index", "section", "text", "tokens", "strategy"] + ["chunk_metadata"] * (metadata_col is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                name, found = run_one(text)
+            for i, (text, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                name, found = pieces_of(text, strategy)
                 n = len(found)
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, batch.schema.field(0).type), pa.array(range(n), pa.int32()), pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.string()), pa.array([tokens(c) for _, c in found], pa.int32()), pa.array([name] * n)], names=["doc_id", "chunk_index", "section", "text", "tokens", "strategy"])
+                    columns = [pa.array([batch.column(0)[i].as_py()] * n, batch.schema.field(0).type), pa.array(range(n), pa.int32()), pa.array([h for h, _, _ in found], pa.string()), pa.array([c for _, c, _ in found], pa.string()), pa.array([tokens(c) for _, c, _ in found], pa.int32()), pa.array([name] * n)]
+                    if metadata_col is not None:
+                        columns.append(pa.array(metadata_of(own, found, name), pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, chunk_index int, section string, text string, tokens int, strategy string")
+    return docs.mapInArrow(run, f"doc_id {kind}, chunk_index int, section string, text string, tokens int, strategy string" + ", chunk_metadata string" * (metadata_col is not None))

@@ -1,4 +1,4 @@
-"""Lexical retrieval: BM25, best fields, full-text match on stems, boolean queries, phrases, dis-max."""
+"""Lexical retrieval: searches of one table, boolean queries, phrases, dis-max, the router of queries. See postings."""
 
 from __future__ import annotations
 
@@ -6,14 +6,9 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillstone.functions import text as X
-from quillstone.functions.stem import SPECIAL, STOP, stem
-from quillstone.runtime import ship, spread, written
 
 K1, B = 1.2, 0.75
 
@@ -23,81 +18,21 @@ def query_words(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
 
-def occurrences(words_column: str, forms: Sequence[str]) -> Column:
-    """How many words of an array are one of the forms."""
-    return F.size(F.filter(words_column, lambda w: w.isin(*forms)))
-
-
-def term_counts(docs: DataFrame, fields: Sequence[str], words: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """The kept columns and, for each field, its words (len_f) and how often each query word occurs (tf_f): narrow."""
-    out = docs.select(*keep, *[X.words(F.coalesce(F.col(f), F.lit(""))).alias(f"_{f}") for f in fields])
-    counts = [c for f in fields for c in (F.size(f"_{f}").alias(f"len_{f}"), F.array(*[occurrences(f"_{f}", [q]) for q in words]).alias(f"tf_{f}"))]
-    return out.select(*keep, *counts)
-
-
 def bm25(spark: SparkSession, docs: DataFrame, fields: Mapping[str, float], query: str, keep: Sequence[str], operator: str = "or", tie: float = 0.0) -> DataFrame:
-    """The kept columns with `score`, for documents that match: the best field's boost times BM25 (k1 1.2, b 0.75, idf over
-    the whole table), plus `tie` times the other fields. operator: any word (`or`) or every word in one field (`and`).
-
-    The texts are read once into a narrow table of lengths and counts; statistics are one row, joined by broadcast.
-    """
-    words = query_words(query)
-    if not words:
-        return docs.select(*keep, F.lit(0.0).alias("score")).limit(0)
-    names = list(fields)
-    counts = written(spark, term_counts(spread(docs.select(*dict.fromkeys([*keep, *names])), keep[0]), names, words, keep), "terms")
-    stats = [F.count("*").alias("n")]
-    for f in names:
-        stats.append(F.avg(f"len_{f}").alias(f"avg_{f}"))
-        stats += [F.sum((F.col(f"tf_{f}")[i] > 0).cast("bigint")).alias(f"df_{f}_{i}") for i in range(len(words))]
-    hit = reduce(Column.__or__, [F.exists(f"tf_{f}", lambda t: t > 0) if operator == "or" else F.forall(f"tf_{f}", lambda t: t > 0) for f in names])
-    rows = counts.where(hit).crossJoin(F.broadcast(counts.agg(*stats)))
-
-    def field(f: str) -> Column:
-        def one(i: int) -> Column:
-            tf, df = F.col(f"tf_{f}")[i], F.col(f"df_{f}_{i}")
-            idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-            return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"len_{f}") / F.greatest(F.col(f"avg_{f}"), F.lit(1e-9))))
-
-        total = reduce(Column.__add__, [one(i) for i in range(len(words))])
-        if operator == "and":
-            total = F.when(F.forall(f"tf_{f}", lambda t: t > 0), total).otherwise(0.0)
-        return F.lit(float(fields[f])) * total
-
-    scores = [field(f) for f in names]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    score = best + tie * (reduce(Column.__add__, scores) - best) if tie else best
-    return rows.select(*keep, score.alias("score")).where("score > 0")
+    """The kept columns, of which the first is a unique key, with `score`: Postings.bm25 over an index of this table,
+    built for this one query. Build the index once where there are more."""
+    from quillstone.operators.postings import Postings
 
-
-def stem_forms(spark: SparkSession, docs: DataFrame, text: str, query: str) -> list[list[str]]:
-    """For each distinct stem of the query without stop words: the words of the texts that have this stem. The distinct
-    words, combined before the shuffle, are stemmed once each; only the forms of the query come back: a stem and what the rules can cut from its end."""
-    ship(spark)
-    wanted = list(dict.fromkeys(stem(w) for w in query_words(query) if w not in STOP))
-    if not wanted:
-        return []
-
-    @F.pandas_udf(T.StringType())
-    def stems(words: pd.Series) -> pd.Series:
-        return words.map(stem)
-
-    vocabulary = spread(docs.select(text), text).select(F.explode(X.words(F.col(text))).alias("w")).distinct()
-    firsts = tuple({s[:2] for s in wanted})  # stemming keeps a word's beginning, but for some words with a stem of their own
-    own = [w for w, s in SPECIAL.items() if s in wanted]
-    rows = vocabulary.where(reduce(Column.__or__, [F.col("w").startswith(p) for p in firsts], F.col("w").isin(own))).select("w", stems("w").alias("s")).where(F.col("s").isin(wanted)).collect()
-    return [sorted({r["w"] for r in rows if r["s"] == s} | {s}) for s in wanted]
+    found = Postings.build(spark, docs, keep[0], list(fields)).bm25(fields, query, operator, tie)
+    return docs.select(*keep).join(found.withColumnRenamed("key", keep[0]), keep[0])
 
 
 def full_text(spark: SparkSession, docs: DataFrame, text: str, query: str, keep: Sequence[str]) -> DataFrame:
-    """The kept columns with `rank` of documents that hold every stem of the query: the sum of ln(1 + occurrences).
-    A query of stop words only matches nothing."""
-    forms = stem_forms(spark, docs, text, query)
-    if not forms:
-        return docs.select(*keep, F.lit(0.0).alias("rank")).limit(0)
-    own = X.words(F.coalesce(F.col(text), F.lit("")))
-    counts = [occurrences("_w", fs) for fs in forms]
-    return spread(docs.select(*dict.fromkeys([*keep, text])), keep[0]).select(*keep, own.alias("_w")).select(*keep, F.array(*counts).alias("_n")).where(F.forall("_n", lambda n: n > 0)).select(*keep, F.aggregate("_n", F.lit(0.0), lambda s, n: s + F.log1p(n.cast("double"))).alias("rank"))
+    """The same with `rank` of Postings.full_text."""
+    from quillstone.operators.postings import Postings
+
+    found = Postings.build(spark, docs, keep[0], [text]).full_text(text, query)
+    return docs.select(*keep).join(found.withColumnRenamed("key", keep[0]), keep[0])
 
 
 def phrase(words_column: Column, query: str, slop: int = 0) -> Column:
@@ -166,6 +101,21 @@ class Boolean:
             return t
         raise ValueError(f"unexpected {t[1]!r}")
 
+    def positive(self) -> list[str]:
+        """The words that may count for a document: those not below NOT."""
+        out: list[str] = []
+
+        def walk(node, below: bool) -> None:
+            kind, rest = node
+            if kind in ("not", "and", "or"):
+                for x in rest:
+                    walk(x, below or kind == "not")
+            elif not below:
+                out.extend(query_words(rest))
+
+        walk(self.tree, False)
+        return list(dict.fromkeys(out))
+
     def condition(self, words_column: Column) -> Column:
         def build(node) -> Column:
             kind, rest = node
@@ -184,16 +134,45 @@ def dis_max(scores: Sequence[Column], tie: float = 0.2) -> Column:
     return best + tie * (reduce(Column.__add__, scores) - best)
 
 
-#: Rules of the query router in order; the first that fits names the kind of query.
+#: Rules of the query router in order; the first that fits names the kind of query.
 ROUTES = (
-    ("citation", re.compile(r"\[\d{4}\]\s+[A-Za-z]+\s+\d+|\(\d{4}\)\s+\d+\s+[A-Za-z]+\s+\d+")),
-    ("case_name", re.compile(r"\b[vV]s?\.?\s")),
-    ("legislation", re.compile(r"\bAct\b|\bsection\s+\d|\bs\s+\d")),
+    ("citation", re.compile(r"\[\d{4}\]\s+[A-Z]+\s+\d+|\d+\s+CLR\s+\d+")),
+    ("case_name", re.compile(r"\b[A-Z][\w'’.-]*\s+(?:[\w&'’.-]+\s+)*?vs?\.?\s+(?:[\w&'’.-]+\s+)*?[A-Z]")),
+    ("legislation", re.compile(r"\bAct\b|\bsections?\b|\bss?\.?\s*\d")),
     ("boolean", re.compile(r"\b(?:AND|OR|NOT)\b|\"")),
-    ("question", re.compile(r"\?|^(?:\S+\s+){11,}\S+")),
 )
+QUESTION = re.compile(r"\?\s*$|^(?:who|what|when|where|which|why|how|is|are|was|were|does|do|did|can|may|must|should)\b", re.I)
+#: A query of more words than this is a question.
+MOST_KEYWORDS = 7
+#: What a query may say of place and time.
+IN_YEAR = re.compile(r"\b(?:in|of|since)\s+((?:18|19|20)\d{2})\b")
+STATES = ("nsw", "vic", "qld", "sa", "wa", "tas", "nt", "act", "cth")
 
 
 def route(query: str) -> str:
     """The kind of a query: citation, case_name, legislation, boolean, question, else keyword."""
-    return next((name for name, rx in ROUTES if rx.search(query)), "keyword")
+    kind = next((name for name, rx in ROUTES if rx.search(query)), None)
+    if kind is None:
+        kind = "question" if len(query.split()) > MOST_KEYWORDS or QUESTION.search(query) else "keyword"
+    return kind
+
+
+def entities(query: str, databases: Sequence[str] = ()) -> dict[str, object]:
+    """Filters that a query names, whatever its kind: a subjurisdiction in capitals, one of the databases, a year after
+    `in`, `of` or `since` (not one inside a citation)."""
+    out: dict[str, object] = {}
+    words = re.findall(r"[A-Za-z]+", query)
+    state = next((w.lower() for w in words if w.isupper() and w.lower() in STATES and not (w == "ACT" and "Act" in words)), None)
+    if state:
+        out["subjurisdiction"] = state
+    court = next((w for w in words if w in databases), None)
+    if court:
+        out["database"] = court
+    if year := IN_YEAR.search(query):
+        out["year"] = int(year[1])
+    return out
+
+
+def without_year(query: str) -> str:
+    """The query without the year that entities() takes from it."""
+    return " ".join(IN_YEAR.sub(" ", query, count=1).split())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,15 +25,46 @@ def telemetry(events: DataFrame) -> DataFrame:
     return out.select("session", "files_ok", "files_failed", "chunks", *[f"mean_{c}" for c in ("parse_ms", "chunk_ms", "embed_ms", "index_ms", "duration_ms")], *per)
 
 
+def loading_report(records: DataFrame, errors: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
+    """One row over all sessions, and the histograms of errors.
+
+    The row: files_total, files_complete, files_error, chunks_total, files_per_min and chunks_per_min (by the files' own
+    durations), the means avg_file_duration_ms, avg_parse_ms, avg_chunk_ms, avg_embed_ms, avg_insert_ms of what is
+    given, retry_like_errors (a retry, a timeout or status 429). Both spellings of success count, and records of any type
+    but another than file. (what, value, n): errors by `stage`, and the `top` types, which are what stands before the
+    first colon; null and empty are `unknown`."""
+    f = records.where(F.coalesce(F.col("type"), F.lit("file")) == "file")
+    status = F.lower(F.coalesce("status", F.lit("")))
+    spent = F.sum("duration_ms") / 60_000
+    mean = lambda c: F.coalesce(F.round(F.avg(c), 2), F.lit(0.0))
+    rate = lambda x: F.coalesce(F.round(x / F.nullif(spent, F.lit(0.0)), 2), F.lit(0.0))
+    done, chunks = F.count_if(status.isin(*DONE)), F.coalesce(F.sum("chunks"), F.lit(0))
+    row = f.agg(
+        F.count("*").alias("files_total"), done.alias("files_complete"), F.count_if(status == "error").alias("files_error"), chunks.alias("chunks_total"),
+        rate(done).alias("files_per_min"), rate(chunks).alias("chunks_per_min"), mean("duration_ms").alias("avg_file_duration_ms"),
+        mean("parse_ms").alias("avg_parse_ms"), mean("chunk_ms").alias("avg_chunk_ms"), mean("embed_ms").alias("avg_embed_ms"), mean("index_ms").alias("avg_insert_ms"),
+    )
+    text = F.lower(F.coalesce("error", F.lit("")))
+    retries = errors.agg(F.count_if(text.contains("retry") | text.contains("timeout") | text.contains("429")).alias("retry_like_errors"))
+    stage = F.coalesce(F.nullif("stage", F.lit("")), F.lit("unknown"))
+    kind = F.when(F.coalesce("error", F.lit("")) == "", "unknown").otherwise(F.trim(F.split_part("error", F.lit(":"), F.lit(1))))
+    stages = errors.groupBy(stage.alias("value")).agg(F.count("*").alias("n")).select(F.lit("stage").alias("what"), "value", "n")
+    return row.crossJoin(retries), stages.unionByName(most_common(errors, kind, top).select(F.lit("type").alias("what"), "value", "n"))
+
+
 def most_common(df: DataFrame, value: Column, n: int = 10) -> DataFrame:
     """(value, n): the n most frequent values, equal counts by value."""
     return df.groupBy(value.alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
 
 
-def nearest_rank(value: Column, p: float) -> Column:
-    """The value at rank round(p x (n - 1)) of a group, halves rounded to even; for bounded groups of measurements."""
-    s = F.sort_array(F.collect_list(value))
-    return F.try_element_at(s, F.bround(p * (F.count(value) - 1)).cast("int") + 1)
+def nearest_ranks(df: DataFrame, by: Sequence[str], value: str, at: Mapping[str, float]) -> DataFrame:
+    """(by..., names of `at`): the value at rank round(p x (n - 1)) of each group, halves rounded to even. Equal values are
+    counted first; the rest is a running sum over the distinct values of a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_c").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.withColumn("_to", upto).withColumn("_n", F.sum("_c").over(group))
+    return rows.groupBy(*by).agg(*[F.min(F.when(F.col("_to") > F.bround(p * (F.col("_n") - 1)), F.col("_v"))).alias(name) for name, p in at.items()])
 
 
 def cohort_lists(chunks: DataFrame, cohort: str = "md_type") -> DataFrame:
@@ -78,9 +109,54 @@ def term_coverage(hits: DataFrame, expected: DataFrame, text: str = "content") -
     return per.select("query", "hit", "top_match_rate", F.round(F.col("n") / F.nullif(F.col("m"), F.lit(0)), 4).alias("coverage"))
 
 
-def field_difference(left: DataFrame, right: DataFrame) -> tuple[list[str], list[str]]:
-    """Columns that only the left and only the right result has."""
-    return sorted(set(left.columns) - set(right.columns)), sorted(set(right.columns) - set(left.columns))
+def parity(left: DataFrame, right: DataFrame, mode: str = "mode", of: Sequence[str] = ()) -> DataFrame:
+    """(mode, field, side, count_left, count_right): for each mode of two sets of search results, every field that only one
+    side fills there, and the hits of both sides; a mode without such a field has one row with nulls. A field is filled
+    if any hit of the mode has a value. `of`: the fields that count, by default all columns but the mode."""
+
+    def filled(df: DataFrame, side: str) -> DataFrame:
+        fields = [c for c in (of or df.columns) if c != mode and c in df.columns]
+        there = df.groupBy(mode).agg(F.count("*").alias(f"count_{side}"), F.array(*[F.when(F.max(F.col(c).isNotNull()), F.lit(c)) for c in fields]).alias(side))
+        return there.withColumn(side, F.array_compact(side))
+
+    both = filled(left, "left").join(filled(right, "right"), mode, "full_outer")
+    none = F.array().cast("array<string>")
+    a, b = F.coalesce("left", none), F.coalesce("right", none)
+    found = F.concat(F.transform(F.array_except(a, b), lambda x: F.struct(x.alias("field"), F.lit("left").alias("side"))), F.transform(F.array_except(b, a), lambda x: F.struct(x.alias("field"), F.lit("right").alias("side"))))
+    counts = [F.coalesce(f"count_{s}", F.lit(0)).alias(f"count_{s}") for s in ("left", "right")]
+    return both.select(mode, F.explode_outer(found).alias("x"), *counts).select(mode, "x.field", "x.side", "count_left", "count_right")
+
+
+def session_rollup(sessions: DataFrame, files: DataFrame, child: str = r"^(.*)-gpu(?:[0-9]|1[0-5])$") -> DataFrame:
+    """(session, own, children, total_files, completed_files, processed_chunks, status, file_ratio): progress by session. A
+    session that has a row of its own counts by it; one that is only known by children (`<name>-gpu0` to `-gpu15`) by
+    their sums. Repeated file rows count once."""
+    done = files.distinct().where("status = 'complete'").groupBy("session_name").agg(F.count("*").alias("done"))
+    rows = sessions.join(done, "session_name", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    sums = [F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).cast("bigint").alias(n) for c, n in (("total_files", "total_files"), ("done", "completed_files"), ("processed_chunks", "processed_chunks"))]
+    own = rows.groupBy(F.col("session_name").alias("session")).agg(*sums, F.max("status").alias("status")).withColumns({"own": F.lit(True), "children": F.lit(0).cast("bigint")})
+    parent = F.regexp_extract("session_name", child, 1)
+    kids = rows.where(F.col("session_name").rlike(child)).groupBy(parent.alias("session")).agg(*sums, F.count("*").alias("children")).withColumns({"own": F.lit(False), "status": F.lit(None).cast("string")})
+    only = kids.join(own.select("session"), "session", "left_anti")
+    ratio = F.when(F.col("total_files") > 0, F.least(F.lit(1.0), F.round(F.col("completed_files") / F.col("total_files"), 4))).otherwise(0.0)
+    return own.unionByName(only).select("session", "own", "children", "total_files", "completed_files", "processed_chunks", "status", ratio.alias("file_ratio"))
+
+
+def recent_chunks(chunks: DataFrame, n: int = 20) -> DataFrame:
+    """(id, doc_id, chunk_index, has_title, tokens) of the chunks stored last; tokens is the estimate in the metadata."""
+    m = F.col("chunk_metadata")
+    has = F.coalesce(F.array_contains(F.json_object_keys(m), "title"), F.lit(False))
+    return chunks.orderBy(F.desc_nulls_last("created_at"), F.desc("id")).limit(n).select("id", "doc_id", "chunk_index", has.alias("has_title"), F.get_json_object(m, "$.tokens_est").try_cast("int").alias("tokens"))
+
+
+def list_documents(documents: DataFrame, limit: int = 100) -> DataFrame:
+    """(doc_id, source, format) of the documents with the least ids."""
+    return documents.select("doc_id", "source", "format").orderBy("doc_id").limit(limit)
+
+
+def get_document(documents: DataFrame, doc_id: int) -> DataFrame:
+    """(doc_id, source, content, format) of one document; no row where there is none."""
+    return documents.where(F.col("doc_id") == doc_id).select("doc_id", "source", "content", "format")
 
 
 def session_progress(sessions: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import json
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,3 +67,47 @@ def test_html():
     page = "<html><script>x()</script><nav>menu</nav><h2>A v B [2001] X 1</h2><hr><p>One &amp; two</p><style>p{}</style><p>three<br>four</p><hr>foot</html>"
     assert html.to_text(page) == "A v B [2001] X 1\nOne & two\nthree\nfour\nfoot"
     assert html.case_page(page) == ("A v B [2001] X 1", "One & two\nthree\nfour") and html.to_text(None) is None
+
+
+def test_heading_lines():
+    heads = ("IV. Costs", "1.2. Scope", "1. On the point", "s. 12 Duty", "Section 4A Duty", "MDCL", "PART 2", "DUTIES")
+    assert all(chunking.HEADING.match(h) for h in heads) and not any(map(chunking.HEADING.match, ("On the point", "see section 4", "In 1999", "(a) x")))
+
+
+def test_the_cascade_ends_in_windows(spark):
+    text = "a b. " * 3  # too small a sentence for merging, and no chunk of its own
+    assert chunking.pieces_of(" \n ") == ("empty", [])
+    assert chunking.pieces_of("x" * 9000, "windows")[1][-1][2] == {"start_char": 7600, "end_char": 9000, "fallback": True}
+    assert chunking.pieces_of(text)[0] in ("semantic", "recursive")
+    df = spark.createDataFrame([(1, "y" * 5000)], "doc_id bigint, content string")
+    assert [(r.chunk_index, len(r.text), r.strategy) for r in chunking.chunk(spark, df, "windows").collect()] == [(0, 4000, "windows"), (1, 1200, "windows")]
+
+
+def test_headers_never_change_a_documents_own_keys(spark):
+    law = "Preface text of the Act, which is long enough to stay.\n---\ntitle: Part 1\nyear: 1900\nregulation: R7\n---\nThe first rule applies to all of them. " * 2
+    df = spark.createDataFrame([(1, law, '{"title": "The Act", "year": 1999}')], "doc_id bigint, content string, m string")
+    found = [json.loads(r.chunk_metadata) for r in chunking.chunk(spark, df, metadata_col="m").collect()]
+    assert all(m["title"] == "The Act" and m["year"] == 1999 and m["strategy"] == "dashed" for m in found)
+    assert any(m.get("regulation") == "R7" and m["section_title"] == "Part 1" for m in found) and found[0]["section_title"] is None
+    with pytest.raises(ValueError):
+        chunking.chunk(spark, df, "unknown")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab. ?", max_size=60), max_size=12))
+def test_paragraphs_are_bounded_and_keep_all_letters(parts):
+    text = "\n\n".join(parts)
+    out = chunking.paragraphs(text, 40, 0)
+    assert all(len(c) <= 40 for c in out)
+    assert "".join("".join(out).split()) == "".join(text.split())
+
+
+def test_chunks_by_kind():
+    law = "-----\nsection: 4\ntitle: Duty\n-----\n" + "The duty applies. " * 20 + "\n-----\nsection: 5\ntitle: Short\n-----\ntoo short"
+    assert [h for h, _ in chunking.by_kind("Legislation", law)] == ["Duty"]
+    article = "\n".join(["I. Introduction", "It begins. " * 20, "2. Part", "It goes on. " * 20])
+    assert [h for h, _ in chunking.by_kind("journal", article)] == ["I. Introduction", "2. Part"]
+    long = "1. Part\n" + "It goes on and on. " * 200
+    assert all(h.startswith("para_") and len(t) <= 1500 for h, t in chunking.by_kind("journal", long)) and len(chunking.by_kind("journal", long)) == 3
+    assert [h for h, _ in chunking.by_kind("case", "A ruling. " * 20)] == ["para_0"] and chunking.by_kind("case", "A short ruling of sixty characters, which is kept in the end.")[0][0] == ""
+    assert chunking.by_kind("txt", "x") == [] and chunking.by_kind("", "") == []

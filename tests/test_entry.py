@@ -29,3 +29,9 @@ def test_filters_and_columns_reach_the_scan(spark, data):
 def test_best_per_key_is_pruned_before_the_shuffle(spark, data):
     plan = entry.queries()["types_title_trgm"](spark, data)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_global_orders_are_no_single_task(spark, data):
+    for name in ("natural_sort", "even_partition", "round_robin_partition", "zigzag_order", "gini_sizes", "latency_percentiles"):
+        plan = entry.queries()[name](spark, data)._jdf.queryExecution().toString()
+        assert "SinglePartition" not in plan, name

@@ -49,15 +49,29 @@ def test_year(spark, raw, year):
 def test_keys_and_metadata(spark):
     assert one(spark, M.sanitise_key(F.col("t")), t="__1 a..b__c!") == "k_1_a_b_c"
     m = one(spark, M.sanitise(F.col("t")), t='{"type": "case", "year": "c. 2004", "secret": "x", "title": "' + "y" * 600 + '"}')
-    assert m["year"] == "2004" and "secret" not in m and len(m["title"]) == 500
+    assert m["year"] == "2004" and "secret" not in m and len(m["title"]) == 600
     assert one(spark, M.sanitise(F.col("t")), t=None) is None
+    kept = lambda t: one(spark, M.sanitise(F.col("t")), t=t)
+    assert kept('{"year": "120345", "judge": "X", "bench": null, "countries": ["a"]}') == {"judge": "X", "bench": None}
+    assert kept('{"year": "from 1899 on", ".Section.": "1", "TITLE": "T", "act": {"a": 1}}') == {"year": "1899", "Section": "1", "TITLE": "T", "act": '{"a":1}'}
+    assert kept('{"ti.tle": 1, "title": "a", "title.": "b"}') == {"title": "b"} and kept("[1, 2]") == {"raw": "[1, 2]"} and kept("{}") is None
+    assert len(kept('{"source": ["' + "y" * 600 + '"]}')["source"]) == 500
+    key = lambda t: one(spark, M.sanitise_key(F.col("t")), t=t)
+    assert key("-a.b-") == "a_b" and key("..") is None and key(" a//b ") == "a_b"
+
+
+def test_citations_under_any_key(spark):
+    of = lambda t: one(spark, M.citations(F.col("t")), t=t)
+    assert of('{"citation": "[2001] A 1", "citations": [" [1999] B 2 ", "[2001] A 1", ""], "md_citation": "C"}') == ["[1999] B 2", "[2001] A 1", "C"]
+    assert of("{}") == [] and of('{"citations": "one"}') == ["one"] and of(None) == []
 
 
 def test_names_and_headings(spark):
-    assert one(spark, M.parties(F.col("t")), t="Smith v Jones") == ["Smith", "Jones"]
-    assert one(spark, M.parties(F.col("t")), t="Re Smith") == []
-    h = one(spark, M.case_heading(F.col("t")), t="A v B [2001] ABC 12 (4 JUNE 1998)")
-    assert (h.names, h.citation, h.short_citation, h.date) == ("A v B", "[2001] ABC 12", "ABC 12", datetime.date(1998, 6, 4))
+    assert one(spark, M.parties(F.col("t")), t="re Smith & Co v Jones, [2001]") == "Smith & Co v Jones"
+    assert one(spark, M.parties(F.col("t")), t="smith v Jones") is None and one(spark, M.parties(F.col("t")), t="Re Smith") is None
+    h = one(spark, M.case_heading(F.col("t")), t="A v B; C &amp; D [2001] ABC 12; (1999) 3 DEF 4 (4 June 1998)")
+    assert (h.names, h.citations, h.date) == (["A v B", "C & D"], ["[2001] ABC 12", "ABC 12", "(1999) 3 DEF 4", "3 DEF 4"], "1998-06-04 00:00:00")
+    assert one(spark, M.case_heading(F.col("t")), t="A v B [2001] ABC 12 (4 Jun 1998)").date == "4 Jun 1998" and one(spark, M.case_heading(F.col("t")), t="A v B") is None
     assert one(spark, M.authors(F.col("t")), t="A; B,, C ") == ["A", "B", "C"]
 
 
@@ -65,7 +79,24 @@ def test_paths_and_buckets(spark):
     p = one(spark, M.path_parts(F.col("t")), t="/corpus/cases/2006/file10.TXT")
     assert (p.folders, p.file, p.year, p.extension) == (["corpus", "cases"], "file10.TXT", 2006, "txt")
     assert one(spark, M.bucket(F.lit("hca"), F.lit("journal"), F.lit(""))) == "hca"
-    assert one(spark, M.bucket(F.lit(None), F.lit(None), F.lit("/x/Treaties/1"))) == "treaties"
+    assert one(spark, M.bucket(F.lit(None), F.lit(None), F.lit("/x/Treaties/1"))) == "cases" and one(spark, M.path_type(F.lit("/x/Treaties/1"))) == "treaties"
+    assert one(spark, M.path_type(F.lit("/x/entreaty/1"))) == "cases" and one(spark, M.bucket(F.lit("NSWSC"), F.lit(None), F.lit("/a/HCA/1"))) == "hca"
+    for t, want in (("article", "journals"), ("act", "legislation"), ("regulation", "legislation"), (" Case ", "cases"), ("x", "cases")):
+        assert one(spark, M.bucket(F.lit("NSWSC"), F.lit(t), F.lit(""))) == want
+    mixed = spark.createDataFrame([(1, 1, "NSWSC", "case", None), (2, 1, "hca", "journal", None), (3, 2, None, "memo", "/HCA/x"), (4, 3, None, "act", None), (5, 3, None, "case", None), (6, None, "HCA", "case", None)], "id int, doc_id int, md_database string, md_type string, md_url string")
+    assert {r.doc_id: r.bucket for r in M.buckets(mixed, "doc_id").collect()} == {1: "hca", 2: "hca", 3: "legislation"}
+
+
+def test_types_by_text(spark):
+    kind = lambda t, known=None: one(spark, M.doc_type(F.lit(known).cast("string"), F.col("t")), t=t)
+    assert kind("We met at the intersection of roads.") == "txt" and kind("See s.12 of it") == "legislation" and kind("See s. 12") == "legislation"
+    assert kind("as section 4 says") == "legislation" and kind("Smith v Jones") == "case" and kind("the appellant") == "case" and kind("disappellant") == "txt"
+    assert kind("intro\n1.Scope") == "journal" and kind("x" * 1000 + " v ") == "txt" and kind("a v b", "Journal") == "journal" and kind("a v b", "treaty") == "case"
+
+
+def test_addresses(spark):
+    assert one(spark, M.canonical_url(F.col("t"), "/au/cases/cth/HCA", "https://x"), t="2001\\7.txt") == "https://x/au/cases/cth/HCA/2001/7.html"
+    assert tuple(one(spark, M.place_of(F.col("t")), t="/nz/cases/NZSC/x/1.html")) == ("NZSC", "x") and tuple(one(spark, M.place_of(F.col("t")), t="/au/legis/a/b")) == ("", "")
 
 
 def test_natural_order(spark):
