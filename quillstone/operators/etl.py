@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import metadata as M
 from quillstone.operators.joins import left_join_unique
-from quillstone.runtime import ship
+from quillstone.runtime import maybe_broadcast, ship
 from quillstone.sources import front_matter
 
 
@@ -28,9 +28,11 @@ ATTRIBUTES = ("url", "jurisdiction", "subjurisdiction", "database", "date", "yea
 
 def typed(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks of documents with `kind`: the stated type, or else what the document's text looks like (see doc_type)."""
-    kinds = documents.select("doc_id", M.doc_type(F.lit(None).cast("string"), F.col("content")).alias("_seen"))
     stated = F.nullif(F.lower(F.trim("md_type")), F.lit(""))
-    return chunks.join(kinds, "doc_id", "left").withColumn("kind", F.coalesce(stated, "_seen", F.lit("txt"))).drop("_seen")
+    unknown = chunks.where(stated.isNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    texts = documents.join(maybe_broadcast(unknown), "doc_id", "left_semi")  # only these texts are looked at
+    kinds = texts.select("doc_id", M.doc_type(F.lit(None).cast("string"), F.col("content")).alias("_seen"))
+    return chunks.join(maybe_broadcast(kinds), "doc_id", "left").withColumn("kind", F.coalesce(stated, "_seen", F.lit("txt"))).drop("_seen")
 
 
 def keyed(chunks: DataFrame, md_type: str, kind: str = "md_type", order: str = "id") -> DataFrame:

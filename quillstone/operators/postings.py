@@ -91,7 +91,7 @@ class Postings:
         salts = -(-parts // 1024)
         hashed = F.pmod(F.xxhash64("key"), F.when(F.col("bucket") == LENGTHS, F.lit(min(parts, 1024))).otherwise(F.lit(salts)))
         flat = _rows(rows, list(columns), buckets)
-        flat = flat.repartition(min(buckets * salts, max(parts, 8)), F.col("bucket"), hashed).sortWithinPartitions("bucket", "stem", "word", "key")
+        flat = flat.repartition(min(buckets * salts, max(parts, 8)), F.col("bucket"), hashed).sortWithinPartitions("bucket", "stem")
         written = Written(spark, flat, "postings", ["bucket"])
         return Postings(spark, written.path, list(columns), buckets, rows.schema["key"].dataType.simpleString())
 

@@ -16,7 +16,7 @@ from quillstone.operators.vector import nearest
 from quillstone.plans import indexes
 from quillstone.plans import sql as S
 from quillstone.plans.sql import QUERY
-from quillstone.runtime import maybe_broadcast, table
+from quillstone.runtime import maybe_broadcast, table, written
 from quillstone.sources import files
 
 URLS = ("https://harbour-rulings.example/hcvr/1983/1043.html", "https://meridian-statutes.example/hbrt/2003/1015.html", "https://saltmarsh-court.example/sleg/1993/1023.html")
@@ -287,6 +287,7 @@ def q_etl_cases(spark, d):
 def q_etl_records(spark, d):
     """Records of all four types, chunks without a stated type going where their document's text points."""
     e = etl.typed(tables.embeddings(spark, d), tables.documents(spark, d))
+    e = written(spark, e.select("id", "doc_id", "kind", *[f"md_{c}" for c in etl.ATTRIBUTES]), "typed")
     out = None
     for t in M.TYPES:
         one = etl.records(e, t, "kind").drop("record_id").withColumn("kind", F.lit(t))

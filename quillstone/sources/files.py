@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import metadata as M
 from quillstone.functions import text as X
-from quillstone.runtime import ship
+from quillstone.runtime import maybe_broadcast, ship
 from quillstone.sources import front_matter, html
 
 EXTENSION = r"(?i)\.(txt|html)$"
@@ -25,6 +25,14 @@ def listed(spark: SparkSession, partition_file: str) -> DataFrame:
     return spark.read.text(partition_file).select(F.trim("value").alias("path")).where("path <> ''")
 
 
+def listed_files(spark: SparkSession, partition_file: str, *roots: str) -> DataFrame:
+    """(path, length, modified) of the files below the folders that a partition file names, with or without a scheme."""
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    wanted = listed(spark, partition_file).select(bare(F.col("path")).alias("_p")).distinct()
+    files = scan(spark, *roots).withColumn("_p", bare(F.col("path")))
+    return files.join(maybe_broadcast(wanted), "_p", "left_semi").drop("_p")
+
+
 def sample(files: DataFrame) -> DataFrame:
     """At most one file of each folder, folders named for a year left out: the first .txt by natural order, else .html."""
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
@@ -34,7 +42,7 @@ def sample(files: DataFrame) -> DataFrame:
 
 
 def texts(spark: SparkSession, *roots: str) -> DataFrame:
-    """(path, content, error): files decoded as UTF-8, else as Latin-1."""
+    """(path, content): files decoded as UTF-8, else as Latin-1, which takes any bytes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots)).where(F.col("path").rlike(EXTENSION))
 
     @F.pandas_udf("content string")
@@ -65,6 +73,18 @@ def parsed(spark: SparkSession, *roots: str) -> DataFrame:
     return rows.select("path", F.col("p.metadata").alias("metadata"), F.col("p.body").alias("body"), kind.alias("format"))
 
 
+def case_pages(pages: DataFrame, column: str, path: str, base: str = "", prefix: str = "") -> DataFrame:
+    """The table with `status`, `meta` (JSON) and `document` of pages of one case each, by html.case_document; path is the
+    page's place below the base. Null for null."""
+    ship(pages.sparkSession)
+
+    @F.pandas_udf("status string, meta string, document string")
+    def run(values: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([html.case_document(v, p or "", base, prefix) for v, p in zip(values, paths)], columns=["status", "meta", "document"])
+
+    return pages.withColumn("_c", run(column, path)).select("*", "_c.*").drop("_c")
+
+
 def html_texts(pages: DataFrame, column: str) -> DataFrame:
     """The table with `text`, the text of a column of pages; null for null."""
     ship(pages.sparkSession)

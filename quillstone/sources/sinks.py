@@ -36,6 +36,19 @@ def write_success_list(df: DataFrame, path: str, values: Sequence[str]) -> None:
     df.select(F.concat_ws("\t", "path", *fields).alias("value")).write.mode("append").text(path)
 
 
+def write_run_logs(records: DataFrame, path: str, values: Sequence[str] = ("chunks", "duration_ms")) -> None:
+    """The logs of a loading run below a folder, from its records (path, status, stage, error, ...): `success` (one line
+    per loaded file), `errors` (NDJSON of each failure), `failed` (the paths of failures, each once) and `summary` (JSON:
+    files by status, and chunks)."""
+    done = F.col("status").isin("ok", "complete")
+    failed = records.where(F.col("status") == "error")
+    write_success_list(records.where(done), f"{path}/success", values)
+    write_ndjson(failed, f"{path}/errors")
+    failed.select(F.col("path").alias("value")).distinct().write.mode("append").text(f"{path}/failed")
+    counts = records.agg(F.count_if(done).alias("files_ok"), F.count_if(F.col("status") == "error").alias("files_failed"), F.count_if(~F.coalesce(done | (F.col("status") == "error"), F.lit(False))).alias("files_other"), F.coalesce(F.sum(F.when(done, F.col("chunks"))), F.lit(0)).alias("chunks"))
+    counts.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
 def manifest(assigned: DataFrame) -> DataFrame:
     """(total_files, shards, assigned_total, unique_assigned): one row for a manifest file. `assigned`: path, part."""
     per = assigned.groupBy("part").agg(F.count("*").alias("count"))

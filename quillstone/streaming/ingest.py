@@ -20,11 +20,14 @@ def keyed_chunks(spark: SparkSession, documents: DataFrame, strategy: str = "cas
     return rows.withColumn("doc_key", key).withColumn("chunk_id", M.stable_id(F.concat(F.lit("emb:"), M.emb_key(F.col("doc_key"), F.col("chunk_index"))))).drop("doc_key")
 
 
-def ingest(spark: SparkSession, folder: str, to: str, checkpoint: str, files_per_batch: int = 100, strategy: str = "cascade", schema: str = DOCUMENTS) -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, to: str, checkpoint: str, files_per_batch: int | None = 100, strategy: str = "cascade", schema: str = DOCUMENTS, bytes_per_batch: int | None = None) -> StreamingQuery:
     """Start loading Parquet files of documents from `folder` into `to`, a table of chunks partitioned by batch. A batch
     that is repeated after a failure overwrites its own partition; files that were loaded are in the checkpoint. Blank
-    texts give no chunks and no error. Stops when all files that are there are loaded."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    texts give no chunks and no error. A batch has at most `files_per_batch` files, or, if it is given instead, about
+    `bytes_per_batch`, so that few large files and many small ones make batches of one size. Stops when
+    all files that are there are loaded."""
+    limit = {"maxBytesPerTrigger": bytes_per_batch} if bytes_per_batch else {"maxFilesPerTrigger": files_per_batch}
+    stream = spark.readStream.schema(schema).options(**limit).parquet(folder)
 
     def write(batch: DataFrame, number: int) -> None:
         keyed_chunks(batch.sparkSession, batch, strategy).dropDuplicates(["chunk_id"]).write.mode("overwrite").parquet(f"{to}/batch={number}")

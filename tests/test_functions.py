@@ -126,3 +126,8 @@ def test_steps(spark):
     text = "Intro\nStep 1 - Facts: the dam\nbroke\nStep 2 - Law: s 5\nFinal Conclusion: liable"
     assert [(s.step, s.label, s.body) for s in one(spark, X.steps(F.col("t")), t=text)] == [(1, "Facts", "the dam\nbroke"), (2, "Law", "s 5")]
     assert one(spark, X.steps(F.col("t")), t="none") == []
+
+
+def test_coercions(spark):
+    assert one(spark, M.as_int(F.col("t")), t=" 12 ") == 12 and one(spark, M.as_int(F.col("t")), t="x") is None
+    assert one(spark, M.truthy(F.col("t")), t=" Yes ") and not one(spark, M.truthy(F.col("t")), t="0") and one(spark, M.truthy(F.col("t")), t=None) is False

@@ -45,3 +45,12 @@ def test_embedding(spark):
     df = spark.createDataFrame([(1, "a dam and a wharf"), (2, None), (3, ""), (4, "a wharf and a dam!")], "id int, t string")
     out = {r.id: r.vector for r in embedding.embed(spark, df, "t", 32).collect()}
     assert out[2] is None and np.allclose(out[1], out[4]) and not any(out[3]) and any(out[1])
+
+
+def test_run_logs(spark, tmp_path):
+    rows = [("a", "ok", None, None, 3, 1.5), ("b", "error", "parse", "Timeout: x", None, None), ("b", "error", "parse", "Timeout: y", None, None), ("c", "empty", None, None, None, None)]
+    df = spark.createDataFrame(rows, "path string, status string, stage string, error string, chunks bigint, duration_ms double")
+    sinks.write_run_logs(df, f"{tmp_path}/run")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/run/success").collect()] == ["a\tchunks=3\tduration_ms=1.5"]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/run/failed").collect()] == ["b"] and spark.read.json(f"{tmp_path}/run/errors").count() == 2
+    assert spark.read.json(f"{tmp_path}/run/summary").collect()[0].asDict() == {"files_ok": 1, "files_failed": 2, "files_other": 1, "chunks": 3}

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillstone.sources import files, logs
+from quillstone.sources import files, front_matter, logs, sinks
 from quillstone.streaming import ingest
 
 
@@ -49,3 +49,39 @@ def test_ingest_resumes_without_repeats(spark, tmp_path):
     docs.coalesce(1).write.mode("append").parquet(source)
     ingest.ingest(spark, source, to, at).awaitTermination()
     assert spark.read.parquet(to).count() == 2 * first and ingest.merged(spark, to).count() == first
+
+
+def test_listed_files(spark, tmp_path):
+    for name in ("a.txt", "b.html", "c.txt"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "part.lst").write_text(f"{tmp_path}/a.txt\n\n  file://{tmp_path}/b.html \n{tmp_path}/none.txt\n")
+    found = files.listed_files(spark, f"{tmp_path}/part.lst", str(tmp_path)).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found) == ["a.txt", "b.html"]
+
+
+def test_case_pages(spark):
+    page = "<html><p>top</p><hr><h2>A v B; C v D [2001] HCA 7; (2001) 3 DEF 4 (4 June 2001)</h2><small>note</small><p>Held &amp; done.</p><hr>foot</html>"
+    rows = [(1, page, "2001/7.txt"), (2, "<p>Neutral Citation has changed</p>", "x"), (3, "<p>High Court of Australia decisions beginning with A</p>", "x"), (4, "<h2>No form</h2><p>t</p>", "x"), (5, None, "x")]
+    out = {r.id: r for r in files.case_pages(spark.createDataFrame(rows, "id int, html string, path string"), "html", "path", "/au/cases/cth/HCA", "https://x").collect()}
+    assert {i: r.status for i, r in out.items()} == {1: "case", 2: "reference", 3: "list", 4: "plain", 5: None}
+    meta = json.loads(out[1].meta)
+    assert meta["titles"] == ["A v B", "C v D"] and meta["citations"] == ["[2001] HCA 7", "HCA 7", "(2001) 3 DEF 4", "3 DEF 4"] and meta["date"] == "2001-06-04 00:00:00"
+    assert (meta["url"], meta["jurisdiction"], meta["court"]) == ("https://x/au/cases/cth/HCA/2001/7.html", "cth", "HCA")
+    back, body = front_matter.split(out[1].document)
+    assert json.loads(back)["titles"] == ["A v B", "C v D"] and "Held & done." in body and "note" not in body and "foot" not in body
+    assert out[2].document.startswith("Neutral Citation has changed: This file") and out[4].document == "No form\nt"
+
+
+def test_batches_by_bytes(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(i, "s", "A sentence of a few words. " * 20)], ingest.DOCUMENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    ingest.ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", bytes_per_batch=1000).awaitTermination()
+    assert ingest.merged(spark, f"{tmp_path}/out").select("doc_id").distinct().count() == 3
+
+
+def test_database_tables(spark):
+    url = "jdbc:derby:memory:quillstone;create=true"
+    df = spark.range(100).select(F.col("id").alias("ID"), (F.col("id") * 2).alias("V"))
+    df.write.jdbc(url, "T", mode="overwrite", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    back = sinks.read_table(spark, url, "T", "ID", 0, 100, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert back.rdd.getNumPartitions() == 4 and back.agg(F.sum("V")).first()[0] == 9900
