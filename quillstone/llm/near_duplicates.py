@@ -185,16 +185,16 @@ def _tiles(hot: DataFrame, sketch: DataFrame, least: int) -> DataFrame:
     return tiles.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def candidate_pairs(spark: SparkSession, sketched: DataFrame, similarity: float) -> DataFrame:
+def candidate_pairs(scope: Scope, sketched: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: classes that share a band and whose sketches agree as those of a similar pair do."""
     least = least_agreement(similarity)
     # one shuffle by key serves the counts and the join back
     flat = sketched.where("keys is not null").select("cls", F.explode("keys").alias("key"))
     n = sketched.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    many = n > ENTRIES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = n > ENTRIES * int(scope.spark.conf.get("spark.sql.shuffle.partitions"))
     entries = (flat.repartition(-(-n // ENTRIES), "key") if many else flat.repartition("key")).dropDuplicates(["key", "cls"])
     counts = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(spark, entries.join(counts.hint("shuffle_hash"), "key"), "buckets")
+    shared = scope.written(entries.join(counts.hint("shuffle_hash"), "key"), "buckets")
     few = shared.where(F.col("n") <= BUCKET)
     pairs = few.select("key", F.col("cls").alias("a")).join(few.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b").distinct()
     sketch = sketched.where("sketch is not null").select("cls", "sketch").join(shared.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
@@ -245,26 +245,27 @@ class NearDuplicates:
     def groups(self) -> DataFrame:
         """(doc_id, group_id): connected documents share the least doc_id of the group. Least labels spread over the links
         and jump along each other until none changes; every round is a written table, and nothing goes to the driver."""
-        spark = self.spark
-        label = written(spark, self.members.groupBy("cls").agg(F.min("doc_id").alias("label")), "labels")
-        ends = written(spark, self.links.select("a", "b").unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "ends")
-        ties = ends.select("a").distinct()
-        moving = Written(spark, label.join(ties, label.cls == ties.a, "left_semi"), "labels")
-        while True:
-            now = moving.df
-            near = ends.join(now.select(F.col("cls").alias("b"), F.col("label").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-            step = now.join(near, now.cls == near.a).select("cls", "label", F.least("label", "seen").alias("next"))
-            # a label is the doc_id of a class; what that class has reached since holds for this one too
-            heads = step.groupBy(F.col("label").alias("head")).agg(F.min("next").alias("reached"))
-            step = Written(spark, step.join(heads, step.next == heads["head"], "left").select("cls", F.col("label").alias("was"), F.least("next", F.coalesce("reached", "next")).alias("label")), "labels")
-            changed = not step.df.where("label < was").isEmpty()
+        with Scope(self.spark) as scope:
+            label = scope.written(self.members.groupBy("cls").agg(F.min("doc_id").alias("label")), "labels")
+            ends = scope.written(self.links.select("a", "b").unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "ends")
+            ties = ends.select("a").distinct()
+            moving = Written(self.spark, label.join(ties, label.cls == ties.a, "left_semi"), "labels")
+            changed = True
+            while changed:
+                now = moving.df
+                near = ends.join(now.select(F.col("cls").alias("b"), F.col("label").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
+                step = now.join(near, now.cls == near.a).select("cls", "label", F.least("label", "seen").alias("next"))
+                # a label is the doc_id of a class; what that class has reached since holds for this one too
+                heads = step.groupBy(F.col("label").alias("head")).agg(F.min("next").alias("reached"))
+                step = Written(self.spark, step.join(heads, step.next == heads["head"], "left").select("cls", F.col("label").alias("was"), F.least("next", F.coalesce("reached", "next")).alias("label")), "labels")
+                changed = not step.df.where("label < was").isEmpty()
+                moving.drop()
+                moving = Written(self.spark, step.df.select("cls", "label"), "labels")
+                step.drop()
+            final = label.join(moving.df.select("cls", F.col("label").alias("better")), "cls", "left").select("cls", F.coalesce("better", "label").alias("group_id"))
+            final = scope.written(final, "groups", keep=True)
             moving.drop()
-            moving = Written(spark, step.df.select("cls", "label"), "labels")
-            step.drop()
-            if not changed:
-                break
-        final = label.join(moving.df.select("cls", F.col("label").alias("better")), "cls", "left").select("cls", F.coalesce("better", "label").alias("group_id"))
-        return left_join_unique(self.members, written(spark, final, "groups"), "cls").select("doc_id", "group_id")
+        return left_join_unique(self.members, final, "cls").select("doc_id", "group_id")
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> NearDuplicates:
@@ -286,7 +287,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, id_col: str = "do
         sketched = scope.written(sketches(docs, words, rows_per_band(similarity), min_words), "sketches", keep=True)
         sketched = classed(sketched)
         members = sketched.select("doc_id", "cls")
-        candidates = scope.written(candidate_pairs(spark, sketched, similarity), "candidates")
+        candidates = scope.written(candidate_pairs(scope, sketched, similarity), "candidates")
         wanted = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         one = sketched.groupBy("cls").agg(F.min(F.struct("doc_id", "name", "check")).alias("x"))
         chosen = scope.written(one.join(maybe_broadcast(wanted), "cls", "left_semi").select("cls", "x.doc_id", "x.name", "x.check"), "chosen")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, lines, mixing, near_duplicates, neighbours, quality, split
 from quillstone.runtime import table
@@ -33,7 +34,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunk_embeddings")
-    return neighbours.most_similar(spark, chunks, queries=chunks["id"] % 50 == 0)
+    found = neighbours.most_similar(spark, chunks, queries=chunks["id"] % 50 == 0)
+    return found.withColumn("cosine", F.round("cosine", 6))
 
 
 def _near(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
@@ -103,6 +105,11 @@ ranked as (select a, b, row_number() over (partition by a order by c desc, b) as
 select distinct least(a, b) as id_a, greatest(a, b) as id_b from ranked where r <= 10
 """
 
+#: p3: the same for the asked rows without a least cosine. Exact; the query is so, too, where it probes all cells.
+_P3_NEIGHBOURS = _P3_FOUND[: _P3_FOUND.index("near as")] + """near as (select a.id as id, b.id as neighbour, list_cosine_similarity(a.v, b.v) as c from v a join v b on a.id <> b.id and a.id % 50 = 0)
+select id, neighbour, round(c, 6) as cosine, cast(row_number() over (partition by id order by round(c, 12) desc, neighbour) as integer) as rank from near qualify rank <= 10
+"""
+
 #: p2: boundaries become one sign; the parts between them are measured.
 _P2_FOUND = r"""
 with cut as (select doc_id, regexp_replace(regexp_replace(text, '([.!?])[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '\1' || chr(1), 'g'),
@@ -157,6 +164,7 @@ ORACLES: dict[str, str] = {
     "p5_classes": _P5_LINKS + _P5_CLASSES,
     "p5_groups": _P5_LINKS.replace("with words", "with recursive words") + _P5_GROUPS,
     "p3_found": _P3_FOUND,
+    "p3_neighbours": _P3_NEIGHBOURS,
     "p5_found": _P5_LINKS + "select a.doc_id as doc_id_a, b.doc_id as doc_id_b from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id having count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*))",
     "p1_found": _P1_LINES + "select doc_id, cast(line_no as integer) as line_no from named join found using (source, key)",
 }
