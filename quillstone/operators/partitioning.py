@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions import text as X
 from quillstone.runtime import written
 
 #: Files that are packed one by one on the driver.
@@ -119,7 +118,3 @@ def coverage(files: DataFrame, assigned: DataFrame, key: str = "path") -> DataFr
     both = both.join(inside, key, "left")
     out = both.agg(F.count("_f").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("assigned"), F.count("n").alias("distinct_assigned"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"))
     return out.withColumn("complete", (F.col("missing") == 0) & (F.col("repeated") == 0) & (F.col("distinct_assigned") == F.col("files")))
-
-
-def natural_sorted(df: DataFrame, column: str) -> DataFrame:
-    return df.orderBy(X.natural_key(F.col(column)), column)
