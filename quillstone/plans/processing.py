@@ -514,3 +514,14 @@ ORACLES["etl_sections"] += f" and trim(text, {_SPACE} || '-') <> ''"
 ORACLES["overlap_recall"] = "with " + ", ".join(S.bm25({"content": 1.0}, q, "and", name=f"b{i}") for i, q in enumerate(("credible easement", "harbour guarantee"))) + " " + " union all ".join(f"select '{q}' as query, (select cast(least(count(*), 20) as integer) from b{i}) as left, (select cast(count(*) as integer) from documents where text ilike '%{q}%') as right, (select cast(count(*) as integer) from (select doc_id from b{i} order by round(score, 9) desc, doc_id limit 20) join documents using (doc_id) where text ilike '%{q}%') as common, round((select count(*) from (select doc_id from b{i} order by round(score, 9) desc, doc_id limit 20) join documents using (doc_id) where text ilike '%{q}%') / nullif((select count(*) from documents where text ilike '%{q}%'), 0), 4) as share" for i, q in enumerate(("credible easement", "harbour guarantee")))
 _HELD = "with q as (select * from (values ('wharf', ['wharf', 'dam', 'zebra']), ('easement', ['easement', 'credible'])) t(query, terms)), h as (select query, terms, " + S.words("coalesce(text, '')") + " as w from q join documents on text ilike '%' || query || '%' qualify row_number() over (partition by query order by doc_id) <= 10), f as (select query, terms, list_filter(terms, lambda t: list_contains(w, t)) as found from h)"
 ORACLES["term_coverage"] = _HELD + " select query, bool_or(len(found) > 0) as hit, round(avg(cast(len(found) > 0 as integer)), 4) as top_match_rate, round(len(list_distinct(flatten(list(found)))) / len(any_value(terms)), 4) as coverage from f group by query"
+#: Paragraphs are packed by folding: parts are held in one text, divided by a private character; another closes a part.
+_LAST = "split_part(acc, chr(57344), -1)"
+_PACK = f"list_reduce({{of}}, lambda acc, x: case when not (ends_with({_LAST}, chr(57345)) or starts_with(x, chr(57345))) and length({_LAST}) + {{glue}} + length(x) <= 1500 then acc || {{by}} || x else acc || chr(57344) || x end)"
+_CUT = f"chr(57345) || array_to_string(list_transform(range(0, length(y), 1500), lambda i: trim(substr(y, i + 1, 1500), {_SPACE})), chr(57344)) || chr(57345)"
+_BY_SENTENCE = _PACK.format(of=f"list_transform(string_split(regexp_replace(b, '([.?!]) +', '\\1' || chr(57346), 'g'), chr(57346)), lambda y: case when length(y) > 1500 then {_CUT} else y end)", glue=1, by="' '")
+ORACLES["chunk_paragraphs"] = f"""with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '(?:\\r?\\n){{2,}}'), lambda x: trim(x, {_SPACE})), lambda x: x <> '') as ps from documents where text is not null),
+b as (select doc_id, string_split({_PACK.format(of='ps', glue=2, by='chr(10) || chr(10)')}, chr(57344)) as bs from p where len(ps) > 0),
+c as (select doc_id, flatten(list_transform(bs, lambda b: case when length(b) <= 1500 then [b] else list_transform(string_split({_BY_SENTENCE}, chr(57344)), lambda z: replace(z, chr(57345), '')) end)) as cs from b),
+k as (select doc_id, case when len(list_filter(cs, lambda z: length(z) >= 50)) > 0 then list_filter(cs, lambda z: length(z) >= 50) else cs[1:1] end as cs from c),
+u as (select doc_id, unnest(cs) as text, generate_subscripts(cs, 1) - 1 as i from k)
+select doc_id, cast(i as integer) as chunk_index, '' as section, text, cast(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')) as integer) as tokens, 'paragraphs' as strategy from u"""
