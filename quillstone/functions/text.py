@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Runs of characters that are neither letters nor digits of any script.
+#: Runs of characters that are neither letters nor digits of any script; words and single signs.
 NOT_WORD = r"[^\p{L}\p{N}]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 

@@ -261,8 +261,12 @@ STRATEGIES = ("cascade", "dashed", "semantic", "recursive", "windows", "paragrap
 
 
 def metadata_of(base: str | None, found: list[Piece], name: str) -> list[str]:
-    """The metadata of each chunk as JSON: the document's own, then what the section's header adds, then the chunk's."""
-    own = json.loads(base) if base else {}
+    """The metadata of each chunk as JSON: the document's own (`raw` where that is no object), then what the section's
+    header adds, then the chunk's."""
+    try:
+        own = json.loads(base) if base else {}
+    except ValueError:
+        own = base[:500]
     own = own if isinstance(own, dict) else {"raw": own}
     out, sections_, chunk_idx = [], -1, 0
     last: object = None

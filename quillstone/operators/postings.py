@@ -7,6 +7,7 @@ buckets by a hash of the stem, sorted by stem, so that a query's filter prunes f
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -34,25 +35,33 @@ def bucket_of(stem_: str, buckets: int) -> int:
     return xxhash.xxh32_intdigest(stem_) % buckets
 
 
-def _rows(docs: DataFrame, fields: Sequence[str], buckets: int) -> DataFrame:
-    """(bucket, stem, word, field, key, tf, positions, len); a row with a null word for the length of each field."""
+def _rows(docs: DataFrame, fields: Sequence[str], buckets: int, places: Sequence[str]) -> DataFrame:
+    """(bucket, stem, word, field, key, tf, positions, len); a row with a null word for the length of each field. Positions
+    are null for fields that aren't among `places`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, int]] = {}
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
-                at, words, field, places, lens = [], [], [], [], []
+                at, words, field, positions, counts, lens = [], [], [], [], [], []
                 for f, name in enumerate(fields):
                     for i, text in enumerate(part.column(f + 1).to_pylist()):
                         found = WORD.findall(text.lower()) if text else []
-                        where: dict[str, list[int]] = {}
-                        for p, w in enumerate(found, 1):
-                            where.setdefault(w, []).append(p)
+                        if name in places:
+                            where: dict[str, list[int]] = {}
+                            for p, w in enumerate(found, 1):
+                                where.setdefault(w, []).append(p)
+                            tf = map(len, where.values())
+                            positions += [None, *where.values()]
+                        else:
+                            where = Counter(found)  # type: ignore[assignment]
+                            tf = where.values()
+                            positions += [None] * (len(where) + 1)
                         at += [i] * (len(where) + 1)
                         words += [None, *where]
+                        counts += [0, *tf]
                         field += [name] * (len(where) + 1)
-                        places += [None, *where.values()]
                         lens += [len(found)] * (len(where) + 1)
                 if len(known) > CACHE_WORDS:
                     known = {}
@@ -60,7 +69,7 @@ def _rows(docs: DataFrame, fields: Sequence[str], buckets: int) -> DataFrame:
                     s = stem(w)
                     known[w] = (s, bucket_of(s, buckets))
                 known[None] = (None, LENGTHS)  # type: ignore[index]
-                columns = [pa.array([known[w][1] for w in words], pa.int32()), pa.array([known[w][0] for w in words], pa.string()), pa.array(words, pa.string()), pa.array(field, pa.string()), part.column(0).take(pa.array(at, pa.int32())), pa.array([0 if p is None else len(p) for p in places], pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(lens, pa.int32())]
+                columns = [pa.array([known[w][1] for w in words], pa.int32()), pa.array([known[w][0] for w in words], pa.string()), pa.array(words, pa.string()), pa.array(field, pa.string()), part.column(0).take(pa.array(at, pa.int32())), pa.array(counts, pa.int32()), pa.array(positions, pa.list_(pa.int32())), pa.array(lens, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "stem", "word", "field", "key", "tf", "positions", "len"])
 
     kind = docs.schema["key"].dataType.simpleString()
@@ -79,8 +88,8 @@ class Postings:
         self.n = max((r["n"] for r in per.values()), default=0)
 
     @staticmethod
-    def build(spark: SparkSession, docs: DataFrame, key: str, fields: Mapping[str, Column | str] | Sequence[str], buckets: int | None = None) -> Postings:
-        """Write the index. One pass over the texts, one shuffle of the rows by bucket; a bucket is salted by key where the
+    def build(spark: SparkSession, docs: DataFrame, key: str, fields: Mapping[str, Column | str] | Sequence[str], buckets: int | None = None, places: Sequence[str] | None = None) -> Postings:
+        """Write the index. `places`: fields for which phrases and ranks are asked, by default all; the others have counts. One pass over the texts, one shuffle of the rows by bucket; a bucket is salted by key where the
         table is large, so that no word is one task. Null and empty texts have length 0; null keys are left out."""
         ship(spark)
         columns = fields if isinstance(fields, Mapping) else {f: f for f in fields}
@@ -90,7 +99,7 @@ class Postings:
         buckets = buckets or min(4096, max(16, 4 * parts))
         salts = -(-parts // 1024)
         hashed = F.pmod(F.xxhash64("key"), F.when(F.col("bucket") == LENGTHS, F.lit(min(parts, 1024))).otherwise(F.lit(salts)))
-        flat = _rows(rows, list(columns), buckets)
+        flat = _rows(rows, list(columns), buckets, list(columns if places is None else places))
         flat = flat.repartition(min(buckets * salts, max(parts, 8)), F.col("bucket"), hashed).sortWithinPartitions("bucket", "stem")
         written = Written(spark, flat, "postings", ["bucket"])
         return Postings(spark, written.path, list(columns), buckets, rows.schema["key"].dataType.simpleString())
@@ -155,6 +164,14 @@ class Postings:
 
         return per.select("key", rank(F.struct(*[f"p{i}" for i in range(len(stems))])).alias("rank"))
 
+    def match(self, field: str, query: str) -> DataFrame:
+        """(key) of the documents that hold every stem of the query, as full_text without a rank; needs no places."""
+        stems = list(dict.fromkeys(stem(w) for w in query_words(query) if w not in STOP))
+        if not stems:
+            return self._none()
+        rows = self.rows(stems=stems, fields=[field])
+        return rows.groupBy("key").agg(F.count_distinct("stem").alias("n")).where(F.col("n") == len(stems)).select("key")
+
     def phrase(self, field: str, query: str, slop: int = 0) -> DataFrame:
         """(key) of the documents that hold the words of the query in order; with slop, at most so many other words
         between them in all."""

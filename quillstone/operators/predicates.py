@@ -40,6 +40,7 @@ class Filters:
     title_approx: str | None = None
     source_approx: str | None = None
     trigram_limit: float = TRIGRAM_LIMIT
+    in_json: bool = False  # equalities hold in the column or in the metadata; they don't reach the scan then
 
 
 def member(values: Column, value: str) -> Column:
@@ -47,9 +48,9 @@ def member(values: Column, value: str) -> Column:
     return F.coalesce(F.exists(values, lambda v: F.lower(v) == value.lower()), F.lit(False))
 
 
-def column_or_json(column: str, key: str, value: str) -> Column:
-    """Equal in the column, or in the JSON where the column has none."""
-    return F.coalesce(F.col(column) == value, M.text_of(F.col("chunk_metadata"), key) == value, F.lit(False))
+def column_or_json(column: str, key: str, value: str | int) -> Column:
+    """Equal in the column or in the JSON."""
+    return F.coalesce(F.col(column) == value, F.lit(False)) | F.coalesce(M.text_of(F.col("chunk_metadata"), key) == str(value), F.lit(False))
 
 
 def approx(text: Column, query: str, limit: float = TRIGRAM_LIMIT) -> Column:
@@ -58,7 +59,8 @@ def approx(text: Column, query: str, limit: float = TRIGRAM_LIMIT) -> Column:
 
 def conditions(f: Filters) -> list[Column]:
     """All conditions on chunks; source_approx is a semi-join, see where()."""
-    out = [F.col(f"md_{k}") == getattr(f, k) for k in ("type", "jurisdiction", "subjurisdiction", "database", "year") if getattr(f, k) is not None]
+    plain = [k for k in ("type", "jurisdiction", "subjurisdiction", "database", "year") if getattr(f, k) is not None]
+    out = [column_or_json(f"md_{k}", k, getattr(f, k)) if f.in_json else F.col(f"md_{k}") == getattr(f, k) for k in plain]
     if f.types is not None:
         out.append(F.col("md_type").isin(*f.types))
     if not f.both_dates or (f.date_from and f.date_to):

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quillstone import tables
@@ -17,19 +17,16 @@ from quillstone.runtime import exists
 _kept: dict[tuple, Any] = {}
 
 
-def _state(df: DataFrame) -> tuple:
-    """The files of a table with their lengths and times."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    found = []
-    for f in sorted(df.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        found.append((f, status.getLen(), status.getModificationTime()))
-    return tuple(found)
+def _state(spark: SparkSession, d: str, name: str) -> tuple:
+    """What tells one state of a table from another: its place, time, files and bytes."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(path)
+    return path.toString(), fs.getFileStatus(path).getModificationTime(), summary.getFileCount(), summary.getLength()
 
 
-def _keep(spark: SparkSession, name: str, sources: list[DataFrame], build: Callable[[], Any]) -> Any:
-    key = (spark.sparkContext.applicationId, name, *map(_state, sources))
+def _keep(spark: SparkSession, d: str, kind: str, names: tuple[str, ...], build: Callable[[], Any]) -> Any:
+    key = (spark.sparkContext.applicationId, kind, *(_state(spark, d, n) for n in names))
     if key not in _kept or not exists(spark, _kept[key].path):
         _kept[key] = build()
     return _kept[key]
@@ -38,17 +35,17 @@ def _keep(spark: SparkSession, name: str, sources: list[DataFrame], build: Calla
 def documents(spark: SparkSession, d: str) -> Postings:
     """Texts and titles of documents by doc_id."""
     docs = tables.documents(spark, d)
-    return _keep(spark, "documents", [docs], lambda: Postings.build(spark, docs, "doc_id", ["content", "title"]))
+    return _keep(spark, d, "documents", ("documents",), lambda: Postings.build(spark, docs, "doc_id", ["content", "title"]))
 
 
 def chunks(spark: SparkSession, d: str) -> Postings:
     """Chunks by id: title, citations, content (the chunk's part of its document), text_preview, chunk_metadata_text."""
     rows = tables.hits(spark, d)
     fields = {"title": "title", "citations": F.array_join("citations", " "), "content": "content", "text_preview": "text_preview", "chunk_metadata_text": "chunk_metadata_text"}
-    return _keep(spark, "chunks", [tables.documents(spark, d), tables.embeddings(spark, d)], lambda: Postings.build(spark, rows, "id", fields))
+    return _keep(spark, d, "chunks", ("documents", "chunk_embeddings"), lambda: Postings.build(spark, rows, "id", fields, places=["content"]))
 
 
 def vectors(spark: SparkSession, d: str) -> VectorIndex:
     """The usable vectors of all chunks by id."""
     rows = tables.embeddings(spark, d)
-    return _keep(spark, "vectors", [rows], lambda: VectorIndex.build(spark, rows.select("id", "vector"), "id", "vector", 64))
+    return _keep(spark, d, "vectors", ("chunk_embeddings",), lambda: VectorIndex.build(spark, rows.select("id", "vector"), "id", "vector", 64))

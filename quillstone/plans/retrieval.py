@@ -137,6 +137,15 @@ def q_metadata_filter(spark, d):
     return P.where(chunks, f).orderBy("id").limit(100).select("id", "doc_id", "chunk_index", "md_title")
 
 
+def q_metadata_filter_json(spark, d):
+    """Equalities in the column or in the metadata; a third of the rows lose their columns first."""
+    chunks, _ = _both(spark, d)
+    for c in ("md_type", "md_database", "md_year"):
+        chunks = chunks.withColumn(c, F.when(F.col("id") % 3 != 0, F.col(c)))
+    f = P.Filters(type="case", database="HCVR", year=1993, in_json=True)
+    return P.where(chunks, f).orderBy("id").limit(100).select("id", "doc_id", "chunk_index")
+
+
 def q_citation_member(spark, d):
     chunks, _ = _both(spark, d)
     return P.where(chunks, P.Filters(citation_member="[2018] hbrt 402")).select("id", "doc_id", "md_type")
@@ -193,7 +202,7 @@ def q_latest_chunk_per_document(spark, d):
     return chunks.where("doc_id is not null").select("id", "doc_id", "chunk_index", F.row_number().over(newest).alias("r")).where("r = 1").select("id", "doc_id", "chunk_index")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__[2:]: f for f in (q_vector_topk, q_vector_filtered, q_metadata_filter, q_citation_member, q_cases_by_citation, q_cases_by_name_trgm, q_cases_by_name_lev, q_legislation_title_trgm, q_types_title_trgm, q_title_search_doc_group, q_source_approx, q_ann_filters_postfilter, q_ann_source_postfilter, q_all_predicates, q_two_phase_refine, q_ann_exact_lists, q_knn_score, q_latest_chunk_per_document)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__[2:]: f for f in (q_vector_topk, q_vector_filtered, q_metadata_filter, q_metadata_filter_json, q_citation_member, q_cases_by_citation, q_cases_by_name_trgm, q_cases_by_name_lev, q_legislation_title_trgm, q_types_title_trgm, q_title_search_doc_group, q_source_approx, q_ann_filters_postfilter, q_ann_source_postfilter, q_all_predicates, q_two_phase_refine, q_ann_exact_lists, q_knn_score, q_latest_chunk_per_document)}
 
 
 def _title_sql(query: str, condition: str, shortlist: int | None, limit: int | None, per_document: bool, threshold: float = 0.3) -> str:
@@ -221,6 +230,7 @@ ORACLES: dict[str, str] = {
     "vector_topk": f"with {S.EMB}, {S.VEC}, top as (select id, doc_id, chunk_index, distance from vec order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id limit 25) select id, doc_id, chunk_index, distance, source, substr(text, 1, 80) as text, format from top join documents using (doc_id)",
     "vector_filtered": f"with {S.EMB}, {S.VEC} select id, doc_id, chunk_index, distance from vec where md_type = 'case' and md_jurisdiction = 'au' and md_date between date '1985-01-01' and date '2015-12-31' and doc_id in (select doc_id from documents where {S.similarity('lower(source)', 'harbour rulings')} >= 0.3) order by 1 - list_cosine_similarity(cast(vector as double[]), {S.QUERY_SQL}), id limit 20",
     "metadata_filter": f"with {S.EMB} select id, doc_id, chunk_index, md_title from emb where md_type = 'legislation' and md_subjurisdiction = 'qld' and {S.similarity('md_title_lc', 'levy act')} >= 0.3 order by id limit 100",
+    "metadata_filter_json": f"select id, doc_id, chunk_index from chunk_embeddings where (md_type = 'case' and id % 3 <> 0 or {S.json('type')} = 'case') and (md_database = 'HCVR' and id % 3 <> 0 or {S.json('database')} = 'HCVR') and (md_year = 1993 and id % 3 <> 0 or {S.json('year')} = '1993') order by id limit 100",
     "citation_member": f"with {S.EMB} select id, doc_id, md_type from emb where list_contains(list_transform(md_citations, lambda c: lower(c)), '[2018] hbrt 402')",
     "cases_by_citation": f"""with {S.EMB}, matched as (select distinct doc_id from emb where md_type = 'case' and len(list_intersect(list_transform(md_citations, lambda c: lower(c)), {_CITED})) > 0),
 per as (select doc_id, max(md_jurisdiction) as jurisdiction, max(md_date) as case_date, max(md_database) as court, min(list_min(md_citations)) as citation, coalesce({_TITLES}, '') as case_name from emb where doc_id in (from matched) group by doc_id)

@@ -118,7 +118,7 @@ def search_fts(of_documents: Postings, of_chunks: Postings, chunks: DataFrame, d
         found = documents.select("doc_id", "content").join(F.broadcast(found), "doc_id")
         parts.append(found.select("doc_id", F.lit(0).alias("chunk_index"), F.lit("documents").alias("search_area"), X.highlight(F.col("content"), words).alias("snippet"), F.lit(None).cast("string").alias("url"), F.lit(0).alias("area"), (-F.col("rank")).alias("o")))
     if mode in ("metadata", "both"):
-        found = of_chunks.full_text("chunk_metadata_text", query).select(F.col("key").alias("id"))
+        found = of_chunks.match("chunk_metadata_text", query).select(F.col("key").alias("id"))
         found = chunks.join(found, "id", "left_semi").orderBy("chunk_index", "id").limit(8 * top_k)
         parts.append(found.select("doc_id", "chunk_index", F.lit("metadata").alias("search_area"), X.highlight(F.col("chunk_metadata"), words).alias("snippet"), F.col("md_url").alias("url"), F.lit(1).alias("area"), F.col("chunk_index").cast("double").alias("o")))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillstone.functions import metadata as M
 from quillstone.operators.chunking import chunk
+from quillstone.operators.embedding import embed
 from quillstone.operators.etl import upsert
+from quillstone.runtime import Scope
 
 DOCUMENTS = "doc_id bigint, source string, text string"
 
@@ -20,6 +22,25 @@ def keyed_chunks(spark: SparkSession, documents: DataFrame, strategy: str = "cas
     return rows.withColumn("doc_key", key).withColumn("chunk_id", M.stable_id(F.concat(F.lit("emb:"), M.emb_key(F.col("doc_key"), F.col("chunk_index"))))).drop("doc_key")
 
 
+def load(spark: SparkSession, documents: DataFrame, to: str, batch: int = 0, strategy: str = "cascade", dim: int = 64, metadata_col: str | None = None) -> None:
+    """Load a batch of documents as two tables below `to`: documents (id, source, content, format), one row per chunk, and
+    embeddings (id, doc_id, chunk_index, vector, chunk_metadata), which refers to it. Ids depend on the document, place and
+    text only, and a batch overwrites its own partition of both tables, so that loading it again changes nothing. Both
+    are read from one written table of chunks, so that a text is cut once. Blank texts give no rows."""
+    base = documents.withColumn("_m", F.col(metadata_col) if metadata_col else F.lit("{}"))
+    cut = chunk(spark, base, strategy, text_col="text", metadata_col="_m").dropDuplicates(["doc_id", "chunk_index", "text"])
+    key = M.doc_key(F.col("doc_id").cast("string"), F.col("chunk_index"), F.col("text"))
+    seed = lambda kind, k: M.stable_id(F.concat(F.lit(f"{kind}:"), k))
+    cut = cut.withColumns({"id": seed("doc", key), "embedding_id": seed("emb", M.emb_key(key, F.col("chunk_index")))})
+    known = documents.select("doc_id", "source").dropDuplicates(["doc_id"])
+    kind = F.coalesce(M.text_of(F.col("chunk_metadata"), "type"), F.lit("txt"))
+    with Scope(spark) as scope:
+        rows = scope.written(cut.join(known, "doc_id", "left").withColumn("format", kind), "load")
+        rows.select("id", "source", F.col("text").alias("content"), "format").write.mode("overwrite").parquet(f"{to}/documents/batch={batch}")
+        vectors = embed(spark, rows.select("embedding_id", "id", "chunk_index", "chunk_metadata", "text"), "text", dim)
+        vectors.select(F.col("embedding_id").alias("id"), F.col("id").alias("doc_id"), "chunk_index", "vector", "chunk_metadata").write.mode("overwrite").parquet(f"{to}/embeddings/batch={batch}")
+
+
 def ingest(spark: SparkSession, folder: str, to: str, checkpoint: str, files_per_batch: int | None = 100, strategy: str = "cascade", schema: str = DOCUMENTS, bytes_per_batch: int | None = None) -> StreamingQuery:
     """Start loading Parquet files of documents from `folder` into `to`, a table of chunks partitioned by batch. A batch
     that is repeated after a failure overwrites its own partition; files that were loaded are in the checkpoint. Blank

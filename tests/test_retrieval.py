@@ -216,6 +216,13 @@ def test_searches_of_postings(spark, index):
     assert keys(p.bm25({"content": 1.0}, "")) == keys(p.phrase("content", "")) == set()
 
 
+def test_fields_without_places(spark):
+    df = spark.createDataFrame([(1, "the dams of a wharf", "a wharf dam"), (2, "dam", "wharfs")], "id int, content string, title string")
+    p = postings.Postings.build(spark, df, "id", ["content", "title"], places=["title"])
+    assert keys(p.match("content", "dam wharf")) == {1} and keys(p.match("title", "the wharfs")) == {1, 2} and keys(p.match("title", "the")) == set()
+    assert p.rows(["dam"], fields=["content"]).where("positions is null and tf = 1").count() == 1 and keys(p.phrase("title", "wharf dam")) == {1}
+
+
 def test_bm25_against_the_formula(spark, index):
     p, texts = index
     docs = {i: words_of(c) for i, c, _ in texts if i}

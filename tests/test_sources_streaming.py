@@ -85,3 +85,18 @@ def test_database_tables(spark):
     df.write.jdbc(url, "T", mode="overwrite", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
     back = sinks.read_table(spark, url, "T", "ID", 0, 100, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
     assert back.rdd.getNumPartitions() == 4 and back.agg(F.sum("V")).first()[0] == 9900
+
+
+def test_loading_both_tables_again_changes_nothing(spark, tmp_path):
+    text = "The appeal is allowed and the orders below are set aside. " * 60
+    df = spark.createDataFrame([(1, "s", text, '{"type": "case", "title": "T"}'), (2, "t", None, None), (3, "t", " ", None), (4, "u", "A single short sentence of eight words here.", "not json")], ingest.DOCUMENTS + ", m string")
+    seen = []
+    for _ in range(2):
+        ingest.load(spark, df.where("doc_id <> 4"), f"{tmp_path}/t", 7, metadata_col="m")
+        docs, vectors = (spark.read.parquet(f"{tmp_path}/t/{n}") for n in ("documents", "embeddings"))
+        seen.append((sorted(map(str, docs.collect())), sorted(map(str, vectors.collect()))))
+    assert seen[0] == seen[1] and docs.count() == vectors.count() > 1
+    assert vectors.join(docs.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").count() == 0
+    ingest.load(spark, df.where("doc_id = 4"), f"{tmp_path}/u", metadata_col="m")
+    assert [json.loads(r.chunk_metadata)["raw"] for r in spark.read.parquet(f"{tmp_path}/u/embeddings").collect()] == ["not json"]
+    assert {r.format for r in docs.collect()} == {"case"} and all(len(r.vector) == 64 and json.loads(r.chunk_metadata)["title"] == "T" for r in vectors.collect())
