@@ -27,7 +27,7 @@ SHARD, ASKING = 4000, 8000
 #: Rows of about 100 bytes in a partition of the search.
 PARTITION = 150_000
 #: Candidates of a query whose cosines are computed; half as many may come from each of its NEAREST cells' groups.
-RERANK, NEAREST = 256, 8
+RERANK, NEAREST = 400, 8
 SEED = 11
 
 
