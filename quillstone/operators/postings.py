@@ -28,6 +28,8 @@ MOST_POSITIONS, LAST_PLACE = 256, 16_383
 #: The folder of the rows that hold lengths.
 LENGTHS = -1
 CACHE_WORDS = 500_000
+#: Partitions of texts whose rows are written without a shuffle: as many files in a bucket are no burden to a query.
+UNSHUFFLED = 32
 POSITION_WEIGHT = 0.1
 
 
@@ -89,8 +91,10 @@ class Postings:
 
     @staticmethod
     def build(spark: SparkSession, docs: DataFrame, key: str, fields: Mapping[str, Column | str] | Sequence[str], buckets: int | None = None, places: Sequence[str] | None = None) -> Postings:
-        """Write the index. `places`: fields for which phrases and ranks are asked, by default all; the others have counts. One pass over the texts, one shuffle of the rows by bucket; a bucket is salted by key where the
-        table is large, so that no word is one task. Null and empty texts have length 0; null keys are left out."""
+        """Write the index of a stored table. `places`: fields for which phrases and ranks are asked, by default all; the
+        others have counts. One pass over the texts; rows of many tasks are shuffled by bucket, and a bucket is salted by
+        key where the table is large, so that no word is one task. Null and empty texts have length 0; null keys are left
+        out."""
         ship(spark)
         columns = fields if isinstance(fields, Mapping) else {f: f for f in fields}
         rows = docs.select(F.col(key).alias("key"), *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]).where("key is not null")
@@ -100,7 +104,9 @@ class Postings:
         salts = -(-parts // 1024)
         hashed = F.pmod(F.xxhash64("key"), F.when(F.col("bucket") == LENGTHS, F.lit(min(parts, 1024))).otherwise(F.lit(salts)))
         flat = _rows(rows, list(columns), buckets, list(columns if places is None else places))
-        flat = flat.repartition(min(buckets * salts, max(parts, 8)), F.col("bucket"), hashed).sortWithinPartitions("bucket", "stem")
+        if parts > UNSHUFFLED:  # else each task writes its own part of each bucket
+            flat = flat.repartition(min(buckets * salts, parts), F.col("bucket"), hashed)
+        flat = flat.sortWithinPartitions("bucket", "stem")
         written = Written(spark, flat, "postings", ["bucket"])
         return Postings(spark, written.path, list(columns), buckets, rows.schema["key"].dataType.simpleString())
 

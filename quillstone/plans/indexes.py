@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstone import tables
 from quillstone.operators.postings import Postings
 from quillstone.operators.vector import VectorIndex
-from quillstone.runtime import exists
+from quillstone.runtime import Scope, exists
 
 _kept: dict[tuple, Any] = {}
 
@@ -39,10 +39,16 @@ def documents(spark: SparkSession, d: str) -> Postings:
 
 
 def chunks(spark: SparkSession, d: str) -> Postings:
-    """Chunks by id: title, citations, content (the chunk's part of its document), text_preview, chunk_metadata_text."""
-    rows = tables.hits(spark, d)
-    fields = {"title": "title", "citations": F.array_join("citations", " "), "content": "content", "text_preview": "text_preview", "chunk_metadata_text": "chunk_metadata_text"}
-    return _keep(spark, d, "chunks", ("documents", "chunk_embeddings"), lambda: Postings.build(spark, rows, "id", fields, places=["content"]))
+    """Chunks by id: title, citations, content (the chunk's part of its document), text_preview, chunk_metadata_text; the
+    join behind them is written first, as the index looks at its rows more than once."""
+
+    def build() -> Postings:
+        fields = {"title": "title", "citations": F.array_join("citations", " "), "content": "content", "text_preview": "text_preview", "chunk_metadata_text": "chunk_metadata_text"}
+        with Scope(spark) as scope:
+            rows = scope.written(tables.hits(spark, d).select("id", *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()]), "hits")
+            return Postings.build(spark, rows, "id", list(fields), places=["content"])
+
+    return _keep(spark, d, "chunks", ("documents", "chunk_embeddings"), build)
 
 
 def vectors(spark: SparkSession, d: str) -> VectorIndex:
