@@ -84,7 +84,12 @@ def sanitise(metadata: Column) -> Column:
     """A map of the kept keys (cleaned, compared in lower case) in order, at most MOST_KEYS; of keys that become equal the
     last counts. Numbers and truth values are their text; lists and objects their JSON, cut to MOST_CHARS; year is its
     first number of 18xx to 20xx that stands alone, and is left out without one. Other JSON than an object gives `raw`."""
-    entries = F.transform(F.map_entries(F.from_json(metadata, "map<string,string>")), lambda e: F.struct(sanitise_key(e["key"]).alias("k"), e["value"].alias("v")))
+
+    def clean(key: Column) -> Column:
+        """As sanitise_key, null for most keys that aren't kept; keys that are clean already pass no pattern."""
+        return F.when(F.lower(key).isin(*KEPT_KEYS), key).when(key.rlike(r"[^A-Za-z0-9_-]|^[_-]|[_-]$"), sanitise_key(key))
+
+    entries = F.transform(F.map_entries(F.from_json(metadata, "map<string,string>")), lambda e: F.struct(clean(e["key"]).alias("k"), e["value"].alias("v")))
 
     def value(e: Column) -> Column:
         nested = e["v"].rlike(r"(?s)^\s*[\[{]") & (F.json_array_length(e["v"]).isNotNull() | F.json_object_keys(e["v"]).isNotNull())

@@ -519,9 +519,20 @@ _LAST = "split_part(acc, chr(57344), -1)"
 _PACK = f"list_reduce({{of}}, lambda acc, x: case when not (ends_with({_LAST}, chr(57345)) or starts_with(x, chr(57345))) and length({_LAST}) + {{glue}} + length(x) <= 1500 then acc || {{by}} || x else acc || chr(57344) || x end)"
 _CUT = f"chr(57345) || array_to_string(list_transform(range(0, length(y), 1500), lambda i: trim(substr(y, i + 1, 1500), {_SPACE})), chr(57344)) || chr(57345)"
 _BY_SENTENCE = _PACK.format(of=f"list_transform(string_split(regexp_replace(b, '([.?!]) +', '\\1' || chr(57346), 'g'), chr(57346)), lambda y: case when length(y) > 1500 then {_CUT} else y end)", glue=1, by="' '")
-ORACLES["chunk_paragraphs"] = f"""with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '(?:\\r?\\n){{2,}}'), lambda x: trim(x, {_SPACE})), lambda x: x <> '') as ps from documents where text is not null),
+_PIECES = f"""p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '(?:\\r?\\n){{2,}}'), lambda x: trim(x, {_SPACE})), lambda x: x <> '') as ps from documents where text is not null),
 b as (select doc_id, string_split({_PACK.format(of='ps', glue=2, by='chr(10) || chr(10)')}, chr(57344)) as bs from p where len(ps) > 0),
-c as (select doc_id, flatten(list_transform(bs, lambda b: case when length(b) <= 1500 then [b] else list_transform(string_split({_BY_SENTENCE}, chr(57344)), lambda z: replace(z, chr(57345), '')) end)) as cs from b),
+c as (select doc_id, flatten(list_transform(bs, lambda b: case when length(b) <= 1500 then [b] else list_transform(string_split({_BY_SENTENCE}, chr(57344)), lambda z: replace(z, chr(57345), '')) end)) as cs from b)"""
+ORACLES["chunk_paragraphs"] = f"""with {_PIECES},
 k as (select doc_id, case when len(list_filter(cs, lambda z: length(z) >= 50)) > 0 then list_filter(cs, lambda z: length(z) >= 50) else cs[1:1] end as cs from c),
 u as (select doc_id, unnest(cs) as text, generate_subscripts(cs, 1) - 1 as i from k)
 select doc_id, cast(i as integer) as chunk_index, '' as section, text, cast(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')) as integer) as tokens, 'paragraphs' as strategy from u"""
+#: Headed parts of articles; statutes of the test tables have no dashed sections.
+_PARTS = f"""l as (select doc_id, unnest(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(x, {_SPACE}))) as line, generate_subscripts(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), 1) as i from documents where lower(trim(format)) = 'journal' and text is not null),
+h as (select *, regexp_matches(line, '^([IVXLCDM]+\\.|[0-9]+\\.|[A-Z]\\.)\\s+.*') as heads from l), g as (select *, sum(cast(heads as integer)) over (partition by doc_id order by i) as part from h),
+t as (select doc_id, part, coalesce(max(line) filter (where heads), '') as section, trim(string_agg(line || case when heads then chr(10) else ' ' end, '' order by i), {_SPACE}) as text from g group by doc_id, part),
+parts as (select * from t where length(text) >= 150), whole as (select doc_id from parts group by doc_id having max(length(text)) <= 1500)"""
+ORACLES["legacy_chunks"] = f"""with {_PIECES}, {_PARTS}, u as (select doc_id, lower(trim(coalesce(format, 'txt'))) as kind, unnest(cs) as text, generate_subscripts(cs, 1) - 1 as i from c join documents using (doc_id)),
+k as (select doc_id, section, text, part as i from parts where doc_id in (from whole)
+  union all select doc_id, 'para_' || i, text, i from u where kind in ('legislation', 'journal', 'case') and length(text) >= 150 and doc_id not in (from whole)),
+every as (select * from k union all select doc_id, '', text, i from u where length(text) >= 50 and doc_id not in (select doc_id from k))
+select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as integer) as chunk_index, section, cast(length(text) as integer) as chars from every"""
