@@ -1,15 +1,16 @@
 """An inverted index of words and stems with positions, written once; queries read the rows of their stems only.
 
-A row is a word of one field of one document: its stem, how often and where it occurs, and the field's length. Rows lie in
-buckets by a hash of the stem, sorted by stem, so that a query's filter prunes folders and row groups; texts are not read.
+A row is a word in one field of a batch of documents: its stem, and side by side for each document that holds it the key,
+how often and where the word occurs, and the field's length. Rows lie in buckets by a hash of the stem, sorted by stem, so
+that a query's filter prunes folders and row groups; texts are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ MOST_POSITIONS, LAST_PLACE = 256, 16_383
 #: The folder of the rows that hold lengths.
 LENGTHS = -1
 CACHE_WORDS = 500_000
+#: Characters of all fields in a batch of documents that share rows.
+BATCH_CHARS = 4_000_000
 #: Partitions of texts whose rows are written without a shuffle: as many files in a bucket are no burden to a query.
 UNSHUFFLED = 32
 POSITION_WEIGHT = 0.1
@@ -37,45 +40,67 @@ def bucket_of(stem_: str, buckets: int) -> int:
     return xxhash.xxh32_intdigest(stem_) % buckets
 
 
+def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Lists of runs of values that begin at `starts`."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), values)
+
+
 def _rows(docs: DataFrame, fields: Sequence[str], buckets: int, places: Sequence[str]) -> DataFrame:
-    """(bucket, stem, word, field, key, tf, positions, len); a row with a null word for the length of each field. Positions
-    are null for fields that aren't among `places`."""
+    """(bucket, stem, word, field, keys, tfs, lens, positions) by word, field and batch; a row with a null word holds the
+    lengths of a field. Positions are null for fields that aren't among `places`."""
+
+    def index(keys: pa.Array, texts: list[str | None], name: str, known: dict[str, int]) -> pa.RecordBatch:
+        found = [WORD.findall(t.lower()) if t else [] for t in texts]
+        per = np.fromiter(map(len, found), np.int64, len(found))
+        for w in set(chain.from_iterable(found)).difference(known):
+            known[w] = len(known)
+        names = list(known)
+        word = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64, int(per.sum()))
+        doc = np.repeat(np.arange(len(per)), per)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(per) - per, per) + 1
+        order = np.argsort(word, kind="stable")  # words of a document stay in order
+        word, doc, place = word[order], doc[order], place[order]
+        entry = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])]) if len(word) else np.empty(0, np.int64)
+        of, holder = word[entry], doc[entry]
+        row = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+        words = [names[i] for i in of[row].tolist()]
+        stems = list(map(stem, words))
+        # the lengths of all documents come first, as a row without a word
+        tf = np.r_[np.zeros(len(per), np.int64), np.diff(np.r_[entry, len(word)])]
+        starts = np.r_[0, row + len(per)]
+        at = np.r_[np.arange(len(per)), holder]
+        positions = pa.nulls(len(words) + 1, pa.list_(pa.list_(pa.int32())))
+        if name in places:
+            inner = _lists(np.r_[np.zeros(len(per), np.int64), entry], pa.array(place.astype(np.int32)))
+            positions = _lists(starts, inner)
+        columns = [pa.array([LENGTHS, *(bucket_of(x, buckets) for x in stems)], pa.int32()), pa.array([None, *stems], pa.string()), pa.array([None, *words], pa.string()), pa.array([name] * (len(words) + 1), pa.string()), _lists(starts, keys.take(pa.array(at))), _lists(starts, pa.array(tf.astype(np.int32))), _lists(starts, pa.array(per[at].astype(np.int32))), positions]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "stem", "word", "field", "keys", "tfs", "lens", "positions"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, int]] = {}
+        known: dict[str, int] = {}
+        held: list[tuple] = []
+        size = 0
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            keys = pa.concat_arrays([k for k, *_ in held])
+            for f, name in enumerate(fields):
+                yield index(keys, list(chain.from_iterable(h[f + 1] for h in held)), name, known)
+
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
-                at, words, field, positions, counts, lens = [], [], [], [], [], []
-                for f, name in enumerate(fields):
-                    for i, text in enumerate(part.column(f + 1).to_pylist()):
-                        found = WORD.findall(text.lower()) if text else []
-                        if name in places:
-                            where: dict[str, list[int]] = {}
-                            for p, w in enumerate(found, 1):
-                                where.setdefault(w, []).append(p)
-                            tf = map(len, where.values())
-                            positions += [None, *where.values()]
-                        else:
-                            where = Counter(found)  # type: ignore[assignment]
-                            tf = where.values()
-                            positions += [None] * (len(where) + 1)
-                        at += [i] * (len(where) + 1)
-                        words += [None, *where]
-                        counts += [0, *tf]
-                        field += [name] * (len(where) + 1)
-                        lens += [len(found)] * (len(where) + 1)
-                if len(known) > CACHE_WORDS:
-                    known = {}
-                for w in set(words) - known.keys() - {None}:
-                    s = stem(w)
-                    known[w] = (s, bucket_of(s, buckets))
-                known[None] = (None, LENGTHS)  # type: ignore[index]
-                columns = [pa.array([known[w][1] for w in words], pa.int32()), pa.array([known[w][0] for w in words], pa.string()), pa.array(words, pa.string()), pa.array(field, pa.string()), part.column(0).take(pa.array(at, pa.int32())), pa.array(counts, pa.int32()), pa.array(positions, pa.list_(pa.int32())), pa.array(lens, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "stem", "word", "field", "key", "tf", "positions", "len"])
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                held.append((part.column(0), *(part.column(f + 1).to_pylist() for f in range(len(fields)))))
+                size += sum(len(t or "") for texts in held[-1][1:] for t in texts)
+                if size > BATCH_CHARS:
+                    yield from handed()
+                    held, size = [], 0
+                    if len(known) > CACHE_WORDS:
+                        known = {}
+        if held:
+            yield from handed()
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"bucket int, stem string, word string, field string, key {kind}, tf int, positions array<int>, len int")
+    return docs.mapInArrow(run, f"bucket int, stem string, word string, field string, keys array<{kind}>, tfs array<int>, lens array<int>, positions array<array<int>>")
 
 
 class Postings:
@@ -83,8 +108,8 @@ class Postings:
 
     def __init__(self, spark: SparkSession, path: str, fields: Sequence[str], buckets: int, kind: str = "bigint"):
         self.spark, self.path, self.fields, self.buckets = spark, path, tuple(fields), buckets
-        self.table = spark.read.schema(f"stem string, word string, field string, key {kind}, tf int, positions array<int>, len int, bucket int").parquet(path)
-        self.lengths = self.table.where(F.col("bucket") == LENGTHS).select("key", "field", "len")
+        self.table = spark.read.schema(f"stem string, word string, field string, keys array<{kind}>, tfs array<int>, lens array<int>, positions array<array<int>>, bucket int").parquet(path)
+        self.lengths = self.table.where(F.col("bucket") == LENGTHS).select("field", F.explode(F.arrays_zip("keys", "lens")).alias("x")).select(F.col("x.keys").alias("key"), "field", F.col("x.lens").alias("len"))
         per = {r["field"]: r for r in self.lengths.groupBy("field").agg(F.avg("len").alias("a"), F.count("*").alias("n")).collect()}
         self.average = {f: per[f]["a"] if f in per else 0.0 for f in self.fields}
         self.n = max((r["n"] for r in per.values()), default=0)
@@ -102,7 +127,7 @@ class Postings:
         parts = rows.rdd.getNumPartitions()
         buckets = buckets or min(4096, max(16, 4 * parts))
         salts = -(-parts // 1024)
-        hashed = F.pmod(F.xxhash64("key"), F.when(F.col("bucket") == LENGTHS, F.lit(min(parts, 1024))).otherwise(F.lit(salts)))
+        hashed = F.pmod(F.xxhash64(F.get("keys", F.lit(0))), F.when(F.col("bucket") == LENGTHS, F.lit(min(parts, 1024))).otherwise(F.lit(salts)))
         flat = _rows(rows, list(columns), buckets, list(columns if places is None else places))
         if parts > UNSHUFFLED:  # else each task writes its own part of each bucket
             flat = flat.repartition(min(buckets * salts, parts), F.col("bucket"), hashed)
@@ -110,13 +135,21 @@ class Postings:
         written = Written(spark, flat, "postings", ["bucket"])
         return Postings(spark, written.path, list(columns), buckets, rows.schema["key"].dataType.simpleString())
 
-    def rows(self, words: Sequence[str] | None = None, stems: Sequence[str] | None = None, fields: Sequence[str] | None = None) -> DataFrame:
-        """The rows of the words, or of the stems, in the fields."""
+    def rows(self, words: Sequence[str] | None = None, stems: Sequence[str] | None = None, fields: Sequence[str] | None = None, places: bool = True) -> DataFrame:
+        """(stem, word, field, key, tf, len, positions) of the words, or of the stems, in the fields; without `places`, the
+        positions aren't read."""
         wanted = list(dict.fromkeys(map(stem, words) if stems is None else stems))
         out = self.table.where(F.col("bucket").isin([bucket_of(s, self.buckets) for s in wanted]) & F.col("stem").isin(wanted))
         if stems is None:
             out = out.where(F.col("word").isin(list(words)))
-        return out.where(F.col("field").isin(list(fields))) if fields is not None and set(fields) != set(self.fields) else out
+        if fields is not None and set(fields) != set(self.fields):
+            out = out.where(F.col("field").isin(list(fields)))
+        lists = [F.col("keys").alias("key"), F.col("tfs").alias("tf"), F.col("lens").alias("len")]
+        if places:
+            lists.append(F.coalesce("positions", F.array().cast(self.table.schema["positions"].dataType)).alias("positions"))
+        names = ["key", "tf", "len", "positions"][: len(lists)]
+        out = out.select("stem", "word", "field", *lists).select("stem", "word", "field", F.explode(F.arrays_zip(*names)).alias("x"))
+        return out.select("stem", "word", "field", *[F.col(f"x.{n}").alias(n) for n in names])
 
     def _none(self, *columns: Column) -> DataFrame:
         return self.lengths.select("key", *columns).limit(0)
@@ -128,7 +161,7 @@ class Postings:
         if not words:
             return self._none(F.lit(0.0).alias("score"))
         names = list(fields)
-        rows = self.rows(words, fields=names).select("key", "field", "word", "tf", "len")
+        rows = self.rows(words, fields=names, places=False)
         cells = {(f, i): (F.col("field") == f) & (F.col("word") == w) for f in names for i, w in enumerate(words)}
         per = rows.groupBy("key").agg(*[F.coalesce(F.max(F.when(c, F.col("tf"))), F.lit(0)).alias(f"tf_{f}_{i}") for (f, i), c in cells.items()], *[F.max(F.when(F.col("field") == f, F.col("len"))).alias(f"len_{f}") for f in names])
         df = rows.agg(*[F.count_if(c).alias(f"df_{f}_{i}") for (f, i), c in cells.items()])
@@ -175,7 +208,7 @@ class Postings:
         stems = list(dict.fromkeys(stem(w) for w in query_words(query) if w not in STOP))
         if not stems:
             return self._none()
-        rows = self.rows(stems=stems, fields=[field])
+        rows = self.rows(stems=stems, fields=[field], places=False)
         return rows.groupBy("key").agg(F.count_distinct("stem").alias("n")).where(F.col("n") == len(stems)).select("key")
 
     def phrase(self, field: str, query: str, slop: int = 0) -> DataFrame:
