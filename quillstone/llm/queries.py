@@ -21,7 +21,7 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return split.run_kinds(spark, table(spark, d, "documents"))
+    return split.cut_kinds(split.split_documents(spark, table(spark, d, "documents"), with_text=False, both_sides=True))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

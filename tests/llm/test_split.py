@@ -77,3 +77,43 @@ def test_runs_at_the_exact_length(spark, tmp_path):
 def test_an_empty_line_in_the_lower_half_beats_a_weak_cut_there():
     text = "a" * 1000 + ".\n\n" + "b" * 700 + ". " + "c" * 6000
     assert pieces(text)[0][1] == 1003
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 45), st.sampled_from(["\n", "\r\n", "\n\n", ". ", ".\r\n", "! "])), max_size=12), st.integers(12, 45), st.integers(0, 10))
+def test_cuts_on_both_sides_are_forced_in_long_runs_only(runs, most, overlap):
+    text = "".join("x" * n + b for n, b in runs) + "y" * 20
+    last, longest = 0, 0
+    for m in split.BOUNDARY.finditer(text):
+        last, longest = m.end(), max(longest, m.start() - last)
+    longest = max(longest, len(text) - last)
+    parts, cut = pieces(text, most, overlap, both_sides=True), 0
+    for start, end, _ in parts:
+        assert end - start <= most and start == max(0, cut - overlap) and end > cut
+        cut = end
+    assert cut == len(text)
+    if len(text) > most:
+        assert any(p[2] for p in parts) == (longest > most - overlap)
+
+
+def test_p2_found_comes_from_the_pieces(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    texts = ["x" * 3800 + "\n" + "y" * 3800 + "\r\n" + "z" * 3800, "A sentence. " * 1000, "w" * 3801 + ". " + "v" * 500, "short", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, real = [], split.split_documents
+    monkeypatch.setattr(split, "split_documents", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    got = {r.doc_id: r.cut for r in entry.queries()["p2_found"](spark, str(tmp_path)).collect()}
+    assert got == {0: "natural", 1: "natural", 2: "forced"}
+    assert len(made) == 1
+    cuts = sorted((r.doc_id, r.start_char, r.end_char, r.cut) for r in made[0].collect())
+    assert cuts == [(i, a, b, "forced" if f else "natural") for i, t in enumerate(texts[:3]) for a, b, f in pieces(t, both_sides=True)]
+
+
+@pytest.mark.parametrize("both_sides", [False, True])
+def test_tables_of_few_boundaries_cut_the_same(monkeypatch, both_sides):
+    text = ("One two. Three!\n" * 40 + "\n" + "x" * 70 + ".\r\n") * 5
+    whole = pieces(text, 60, 10, both_sides=both_sides)
+    for n in (1, 5, 64):
+        monkeypatch.setattr(split, "BLOCK", n)
+        assert pieces(text, 60, 10, both_sides=both_sides) == whole
